@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.bpe import op9_byte_bpe
 from millrace.llm.quality_rules import op1_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules]
+    found = [op1_quality_rules, op9_byte_bpe]
     return {f.__name__: f for f in found}
 
 
