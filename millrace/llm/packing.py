@@ -33,8 +33,8 @@ from millrace.llm.common import checkpointed
 
 CAPACITY = 2048
 #: Groups of equal cardinality; lengths up to capacity / SMALL are packed last.
-GROUPS = 400
-SMALL = 12
+GROUPS = 2000
+SMALL = 6
 RANK_PARTS = 64
 MEMO_ENTRIES = 1_000_000
 
