@@ -19,6 +19,8 @@ Null and empty texts are one piece, the end id alone. Repeated rows are packed e
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -42,34 +44,61 @@ MEMO_ENTRIES = 1_000_000
 # --- tokens
 
 
-class WordEncoder:
-    """Ids of texts through a memo of their words.
+#: Lower-case letters of ASCII and Latin-1 in UTF-8, which no normalization changes, and what may follow them.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?*#$%&|]*)")
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
+class WordEncoder(dict):
+    """A memo from words to their ids, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and nothing it does reaches across ASCII white space, so a text's ids are those
-    of its words one after another. A worker keeps the ids of up to ``MEMO_ENTRIES`` words; missing ones are encoded
-    together. ASCII letters are folded to lower case first, as the tokenizer would, but not where its special
-    tokens could be meant.
+    of its words one after another. ASCII letters are folded to lower case first, as the tokenizer would, but not
+    where its special tokens could be meant. A word of plain letters, with or without signs after it, is one or two
+    pre-tokens, which go to the tokenizer's model directly; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.memo: dict[bytes, bytes] = {}
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing = set().union(*split).difference(self.memo)
-        if missing:
-            if len(self.memo) + len(missing) > MEMO_ENTRIES:
-                self.memo.clear()
-                missing = set().union(*split)
-            todo = sorted(missing)
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False)
-            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(todo, found, strict=True))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.model = self.tokenizer.model
+        self.parts: dict[bytes, bytes] = {}
+        symbols = byte_symbols()
+        self.symbols = {b: symbols[b] for b in range(256)}
+
+    def part(self, letters: bytes) -> bytes:
+        """The ids of one pre-token."""
+        found = self.parts.get(letters)
+        if found is None:
+            symbols = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(self.symbols)
+            ids = [t.id for t in self.model.tokenize(symbols)]
+            found = self.parts[letters] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) + len(self.parts) >= MEMO_ENTRIES:
+            self.clear()
+            self.parts.clear()
+        plain = _PLAIN.fullmatch(word)
+        if plain:
+            found = self.part(plain[1]) + self.part(plain[2]) if plain[2] else self.part(plain[1])
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
+        return found
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a whole text."""
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -84,9 +113,6 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_i
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         key = hash(shared.value)
         if key not in _encoders:
             _encoders[key] = WordEncoder(shared.value)
@@ -94,9 +120,8 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_i
             ids = batch.column(0).to_pylist()
             out: list[list] = [[], [], [], [], [], []]
             for block in blocks(text_column(batch)):
-                encoded = _encoders[key].encode_all([block.text(i) for i in range(len(block))])
-                for i, data in enumerate(encoded):
-                    data += last
+                for i in range(len(block)):
+                    data = _encoders[key].encode(block.text(i)) + last
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
                         row = (ids[block.first + i], k, k * capacity, len(part) // 4, zlib.crc32(part))
