@@ -1,10 +1,10 @@
 """License scans by a positional index of rare words, in DataFrame expressions alone.
 
-A template is the wording of a licence notice with mandatory key phrases. Of each template the ``ANCHORS`` words of
+A template is the wording of a licence notice with mandatory key phrases. Of each template the ``INDEXED`` words of
 highest inverse document frequency, counted over all texts, are indexed with their positions. In a file the index
-words are looked up; each occurrence of one proposes the place where a template that holds it would start, and
-places that at least two anchors agree on (one, where a template has just one) are verified: every key phrase must
-stand at its relative position, and the share of the template's words in place, at least ``LEAST``, is the score.
+words are looked up; each occurrence of one proposes the place where a template that holds it would start. A place
+stands if another of the template's ``ANCHORS`` rarest words is at its relative position too, and is then verified:
+every key phrase must be in place, and the share of the template's words in place, at least ``LEAST``, is the score.
 The fixed base phrases are found in the same way, by their rarest word, and must match whole.
 
 Everything but the one count of document frequencies is a projection: no shuffle, and a file without index words
@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANCHORS = 5
+INDEXED, ANCHORS = 2, 5
 LEAST = 0.6
 
 #: Base phrases and their labels.
@@ -74,7 +74,7 @@ def license_scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLAT
     rare = lambda ws, n: sorted(set(ws), key=lambda w: (frequencies.get(w, 0), w))[:n]
     plans = [(label, wording.split(), keys, rare(wording.split(), ANCHORS)) for label, wording, keys in templates]
     phrase_anchor = {phrase: rare(phrase.split(), 1)[0] for phrase in BASE}
-    index = sorted({a for *_, anchors in plans for a in anchors} | set(phrase_anchor.values()))
+    index = sorted({a for *_, anchors in plans for a in anchors[:INDEXED]} | set(phrase_anchor.values()))
     none = F.array().cast("array<struct<w:string,at:int>>")
 
     words = F.col("_words")
@@ -89,8 +89,11 @@ def license_scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLAT
     def whole(starts: Column, wanted: list[str]) -> Column:
         return F.filter(starts, lambda s: _standing(words, s, wanted) == len(wanted))
 
-    def agreed(starts: Column, least: int) -> Column:
-        return F.filter(F.array_distinct(starts), lambda s: F.size(F.filter(starts, lambda t: t == s)) >= least)
+    def agreed(starts: Column, posted: list[tuple[str, int]]) -> Column:
+        def in_place(s: Column) -> Column:
+            return sum((F.when(F.get(words, s + j) == w, 1).otherwise(0) for w, j in posted), F.lit(0))
+
+        return F.filter(F.array_distinct(starts), lambda s: in_place(s) >= min(2, len(posted)))
 
     def score(wanted: list[str], keys: list[str]):
         def at(s: Column) -> Column:
@@ -111,8 +114,8 @@ def license_scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLAT
     scores = []
     for k, (_, wanted, keys, anchors) in enumerate(plans):
         posted = [(w, j) for j, w in enumerate(wanted) if w in anchors]
-        starts = F.flatten(F.array(*[proposed(w, j) for w, j in posted]))
-        found = F.coalesce(F.array_max(F.transform(agreed(starts, min(2, len(posted))), score(wanted, keys))), F.lit(0.0))
+        starts = F.flatten(F.array(*[proposed(w, j) for w, j in posted if w in anchors[:INDEXED]]))
+        found = F.coalesce(F.array_max(F.transform(agreed(starts, posted), score(wanted, keys))), F.lit(0.0))
         df = df.withColumn(f"_score{k}", F.when(F.size("_hits") > 0, found).otherwise(F.lit(0.0)))
         scores.append(f"_score{k}")
 
