@@ -14,7 +14,7 @@ from millrace.streaming import bits as bit_streams
 from millrace.streaming import texts as text_streams
 
 #: Share of baskets that a frequent itemset is in, and quantile of co-occurrences from which two nodes are joined.
-SUPPORT_SHARE, EDGE_QUANTILE = 0.62, 0.97
+SUPPORT_SHARE, EDGE_QUANTILE = 0.46, 0.97
 PLACES = 6
 
 Query = Callable[[SparkSession, str], DataFrame]
