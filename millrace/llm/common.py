@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,6 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm.bytetext import text_column
+from millrace.storage import checkpointed, shared_folder
+
+__all__ = ["append_columns", "checkpointed", "fold", "labelled_sample", "others", "shared_folder", "table", "written"]
 
 #: make() runs once in a task and returns a function from a text column to the new columns.
 Maker = Callable[[], Callable[[pa.LargeStringArray], Sequence[pa.Array]]]
@@ -27,24 +29,6 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or in a local test a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="millrace-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() or folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, stored in the shared folder: later reads don't depend on the executors that made them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -52,10 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def others(columns: Sequence[str], names: Sequence[str]) -> list[str]:
+    """The columns whose names aren't among ``names``, in any case of letters."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def append_columns(df: DataFrame, fields: str, make: Maker, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """``df``'s columns (or ``keep``) with columns computed from each whole text, batch by batch, without a shuffle."""
-    keep = list(df.columns if keep is None else keep)
+    """``df``'s columns (or ``keep``) with columns computed from each whole text, batch by batch, without a shuffle.
+
+    A computed column takes the place of one of the same name.
+    """
     new = T.StructType.fromDDL(fields)
+    keep = others(df.columns if keep is None else keep, new.names)
     schema = T.StructType([df.schema[c] for c in keep] + new.fields)
     arrow = to_arrow_schema(new)
     needed = list(dict.fromkeys([*keep, text]))

@@ -18,6 +18,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import others
+
 INDEXED, ANCHORS = 2, 5
 LEAST = 0.6
 
@@ -70,7 +72,7 @@ def _standing(words: Column, start: Column, wanted: list[str]) -> Column:
 
 def license_scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLATES, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the base phrases' places and labels and the templates' labels and score."""
-    keep = docs.columns if keep is None else keep
+    keep = others(docs.columns if keep is None else keep, FIELDS)
     rare = lambda ws, n: sorted(set(ws), key=lambda w: (frequencies.get(w, 0), w))[:n]
     plans = [(label, wording.split(), keys, rare(wording.split(), ANCHORS)) for label, wording, keys in templates]
     phrase_anchor = {phrase: rare(phrase.split(), 1)[0] for phrase in BASE}
