@@ -69,12 +69,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(doc_id, text, y): at most ``per_class`` labelled texts of each class, those first by a hash of their id.
 
     The ids are limited before the texts are joined, so the join broadcasts at most ``2 * per_class`` ids.
-    An id labelled more than once has the larger label; null labels and ids are ignored; of equal ids in
-    ``docs`` each row counts.
+    An id labelled more than once has the larger label; null labels and ids are ignored; of rows of ``docs`` that
+    share an id the one of the largest text counts.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.where(where) if where is not None else known
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     first = [known.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
