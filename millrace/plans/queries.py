@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import clamp
 from millrace.operators import aggregates, evaluate, graph, itemsets, lsh, recommend
 from millrace.plans import roles
 from millrace.storage import checkpointed
@@ -79,6 +80,18 @@ def item_popularity_topk(spark, sf_dir):
     return aggregates.top_k(counted, 20, F.desc("n"), "movieId")
 
 
+@query
+def ratings_clamped(spark, sf_dir):
+    return roles.ratings(spark, sf_dir).select("userId", "movieId", clamp(F.col("rating"), 1, 4).alias("rating"))
+
+
+@query
+def tags_union(spark, sf_dir):
+    tags = roles.tags(spark, sf_dir)
+    labels = roles.ratings(spark, sf_dir).where("rating = 5").select("movieId", F.lit("best").alias("tag"))
+    return aggregates.union(tags, labels).groupBy("tag").agg(F.count("*").alias("n"))
+
+
 # --- itemsets
 
 
@@ -165,6 +178,13 @@ def lsh_precision_recall(spark, sf_dir):
     return lsh.precision_recall(found, lsh.jaccard_exact(pairs))
 
 
+@query
+def similar_in_both(spark, sf_dir):
+    pairs = _sets(spark, sf_dir)
+    found = lsh.jaccard_pairs(pairs, lsh.lsh_candidates(checkpointed(lsh.minhash(pairs))))
+    return found.select("m1", "m2").intersect(lsh.jaccard_exact(pairs).select("m1", "m2"))
+
+
 # --- recommendation
 
 

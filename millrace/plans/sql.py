@@ -99,6 +99,8 @@ def oracle_sql() -> dict[str, str]:
         "dense_index": f"with {_RATINGS} select movieId, cast(dense_rank() over (order by movieId) - 1 as bigint) as idx from (select distinct movieId from s)",
         "corated_counts": f"with {_RATINGS} select p.userId as src, q.userId as dst, count(*) as n from s p join s q on p.movieId = q.movieId and p.userId < q.userId group by 1, 2",
         "item_popularity_topk": f"with {_RATINGS} select movieId, count(*) as n from s group by 1 order by n desc, movieId limit 20",
+        "ratings_clamped": f"with {_RATINGS} select userId, movieId, greatest(1.0, least(4.0, rating)) as rating from s",
+        "tags_union": f"""with {_RATINGS}, {_TAGS} select tag, count(*) as n from (select tag from tags union all select 'best' from s where rating = 5) group by 1""",
         "baskets_by_user": f"with {_BRANDS} select userId as basket, count(*) as n, string_agg(movieId::varchar, ',' order by movieId) as items from s group by 1",
         "baskets_by_item": f"with {_BRANDS} select movieId as basket, count(*) as n, string_agg(userId::varchar, ',' order by userId) as items from s group by 1",
         "frequent_1": f"with {_BRANDS}, {_PAIRS} select movieId as i1, count(*) as n from s group by 1 having count(*) >= (select least from support)",
@@ -120,6 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "lsh_precision_recall": f"""with {_CANDIDATES}, {_SIMILAR}, f as (select near.* from near semi join cand using (m1, m2)),
             c as (select (select count(*) from f) as found, (select count(*) from near) as truth)
             select found, truth, found as hits, case when found > 0 then 1.0::double end as precision, case when truth > 0 then found / truth end as recall from c""",
+        "similar_in_both": f"with {_CANDIDATES}, {_SIMILAR} select m1, m2 from near semi join cand using (m1, m2) intersect select m1, m2 from near",
         "user_pearson": f"with {_RATINGS}, {_SPLIT}, {_pearson('userId', 'movieId')} select a, b, n, round(sim, 6) as sim from pear",
         "user_topn_neighbours": f"with {_RATINGS}, {_SPLIT}, {_pearson('userId', 'movieId')}, {_near(5, 'round(sim, 6)')} select * from top",
         "user_cf_predict": f"with {_USER_CF} select userId, movieId, round(rating, 6) as rating from pred",

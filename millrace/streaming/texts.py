@@ -16,6 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from millrace.functions import hashtags
 
 
+def tracked(texts: DataFrame, word: str = "#", text: str = "text") -> DataFrame:
+    """The rows whose text contains the word, of a table or a stream."""
+    return texts.where(F.contains(F.col(text), F.lit(word)))
+
+
 def top_tags(texts: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
     """(tag, n) of the k most frequent hashtags, ties by tag."""
     tags = texts.select(F.explode(hashtags(F.col(text))).alias("tag"))

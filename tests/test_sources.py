@@ -22,7 +22,8 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("1\n0\n")
     out = []
-    q = readers.text_stream(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).trigger(availableNow=True).start()
+    lines = readers.text_stream(spark, str(tmp_path / "in"))
+    q = writers.each_batch(lines, lambda df, _: out.extend(df.collect()), str(tmp_path / "c"), seconds=None)
     assert q.awaitTermination(60)
     assert sorted(r.value for r in out) == ["0", "1"]
 

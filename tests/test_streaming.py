@@ -74,6 +74,7 @@ def test_texts(spark):
     assert [tuple(r) for r in texts.top_tags(rows, 2).collect()] == [("a", 2), ("b", 1)]
     assert tuple(texts.mean_length(rows).first()) == (3, 13 / 3)
     assert texts.sample(rows, 2).count() == 2
+    assert [r.id for r in texts.tracked(rows).orderBy("id").collect()] == [1, 2, 3]
     many = spark.range(300).select(F.col("id").alias("seq"), F.concat(F.lit("t"), "id").alias("text"))
     one, two = (sorted(r.text for r in texts.reservoir_batch(many.repartition(n), 20).collect()) for n in (1, 7))
     assert one == two and len(one) == 20
