@@ -94,18 +94,25 @@ def edge_betweenness(edges: DataFrame, weighting: str = "equal") -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each can reach.
 
-    In each round every node takes the smallest name among itself and its neighbours, and the edges are renamed and
-    made distinct, until none joins two names.
+    In each round every node points to the smallest of itself and its neighbours; pointers are doubled until they
+    reach the roots, and the edges are renamed by root and made distinct, until none joins two names. At least half
+    of the names that are left vanish in a round, however long the paths are.
     """
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     left = checkpointed(pairs.distinct())
     named = both_ways(left.toDF("src", "dst")).select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
     while left.limit(1).count():
         both = left.union(left.select("b", "a"))
-        least = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")))
-        renamed = left.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").where("x <> y")
+        root = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")))
+        while True:
+            further = root.join(root.toDF("m", "n"), "m").select("node", F.col("n").alias("m"), (F.col("n") != F.col("m")).alias("moved"))
+            further = checkpointed(further)
+            root = further.select("node", "m")
+            if not further.where("moved").limit(1).count():
+                break
+        renamed = left.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").where("x <> y")
         left = checkpointed(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        named = checkpointed(named.join(least.toDF("component", "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component")))
+        named = checkpointed(named.join(root.toDF("component", "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component")))
     return named
 
 
