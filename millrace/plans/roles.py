@@ -43,8 +43,8 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, element): documents and their distinct lower-cased words."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.explode(F.split(F.lower("text"), r"\s+")).alias("element"))
-    return words.where("element <> ''").distinct()
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("element")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), words).where("element <> ''")
 
 
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
