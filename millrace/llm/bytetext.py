@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240611)
 _BYTE_CODE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -110,6 +110,8 @@ def blocks(column: pa.LargeStringArray, size: int = BLOCK_BYTES) -> Iterator[Blo
         edges = offsets[first : last + 1] - base
         yield Block(first, data[base : offsets[last]], edges[:-1], edges[1:])
         first = last
+    # A worker lives on after its task; what the batches before took goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass
