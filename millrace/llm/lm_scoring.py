@@ -2,9 +2,10 @@
 
 Learning. Every word of every training text is counted, by its 64-bit hash, in shuffled shards: N tokens, V words, a
 text's end among them. The unigram level is add-one, (c + 1) / (N + V + 1), the last event being any unknown word.
-Above it, word pairs of the ``PAIR_WORDS`` most frequent words and triples of the ``TRIPLE_WORDS`` most frequent ones
-are counted over all training texts; those of a relative frequency of at least ``LEAST_SHARE`` are kept, at most
-``1 / LEAST_SHARE`` of each order, with an absolute discount.
+Above it, pairs and triples of any words are counted over all training texts by 64-bit hash in shuffled shards, and
+those that occur ``LEAST_COUNT`` times are kept, with an absolute discount. A kept triple's two pairs and a kept
+pair's two words occur as often, so bit sets of what was kept below spare the shuffle most of the others; a false
+positive is counted and dropped, so they never affect the result. The arcs are tables in the shared folder.
 
 Automaton. States are the contexts with kept continuations: none, one word, two words. A kept n-gram is an arc; a
 state without an arc for a word takes its failure arc, at the weight of backing off, to the context without its
@@ -12,9 +13,10 @@ oldest word. At the empty context every word has its unigram arc. The state afte
 what was read that is a state, so a text is scored from left to right in one traversal, here that of all texts of a
 block side by side.
 
-Scoring. Words of a share of at least ``BROADCAST_SHARE``, at most its inverse, are looked up in a broadcast table;
-counts of the others come from a shuffled join of (word, text) with all counts. No table that grows with the
-vocabulary is broadcast or collected.
+Scoring. Words of a share of at least ``BROADCAST_SHARE`` and n-grams of at least ``GRAM_SHARE``, at most the inverse,
+are looked up in broadcast tables. A path's weight is a sum over its words, pairs and triples: of each failure
+weight, and of each arc what it has over the path below it. So for the others, (n-gram, text) rows are joined by a
+shuffle with counts and weights. No table that grows with the vocabulary or the arcs is broadcast or collected.
 
 Null texts are empty: one token, the end. Repeated rows are scored each on its own; every training row counts.
 """
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 from millrace.llm.bytetext import Block, blocks, mix64, text_column, words
 from millrace.llm.common import fold, table, written
 
-PAIR_WORDS, TRIPLE_WORDS = 2048, 256
-LEAST_SHARE = 1e-6
-BROADCAST_SHARE = 2.5e-7
+BROADCAST_SHARE, GRAM_SHARE = 2.5e-7, 1e-6
+#: Bits of the sets of kept hashes, as a power of two.
+SIEVE_BITS = 27
 LEAST_COUNT = 3
 DISCOUNT = 0.75
 #: Stands for the end of a text among the words' hashes.
@@ -102,7 +104,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Frequent:
-    """Counts of the frequent words, by sorted hash, and their ranks among the most frequent, from 1; 0 beyond."""
+    """Counts of the frequent words, by sorted hash, and their ranks by count, from 1."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -130,60 +132,122 @@ def frequent_words(counts: DataFrame, share: float = BROADCAST_SHARE) -> Frequen
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     rank = np.zeros(len(keys), np.int64)
-    top = np.lexsort((keys, -n))[:PAIR_WORDS]
+    top = np.lexsort((keys, -n))
     rank[top] = np.arange(1, len(top) + 1)
     return Frequent(keys, n, rank, int(whole.total), int(whole.distinct))
 
 
-_P, _T = PAIR_WORDS + 1, TRIPLE_WORDS + 1
+_P = int(1 / BROADCAST_SHARE) + 2
 
 
-def _ngram_codes(rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the codes of the pair and the triple that end with it; 0 where a word has no rank or is in another text."""
-    pair, triple = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-    two = np.flatnonzero((doc[1:] == doc[:-1]) & (rank[1:] > 0) & (rank[:-1] > 0)) + 1
-    pair[two] = rank[two - 1] * _P + rank[two]
-    low = (rank > 0) & (rank < _T)
-    three = np.flatnonzero((doc[2:] == doc[:-2]) & low[2:] & low[1:-1] & low[:-2]) + 2
-    triple[three] = (rank[three - 2] * _T + rank[three - 1]) * _T + rank[three]
+def _grams(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the hashes of the pair and the triple that end with it; 0 where another text begins.
+
+    A pair's is its first word's, mixed, with the second's; a triple's likewise of its first and second pair, so
+    the latter of the two follows from the whole and the former.
+    """
+    pair, triple = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
+    two = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    pair[two] = mix64(hashes[two - 1]) ^ hashes[two]
+    three = np.flatnonzero(doc[2:] == doc[:-2]) + 2
+    triple[three] = mix64(pair[three - 1]) ^ pair[three]
     return pair, triple
 
 
-def count_ngrams(texts: DataFrame, frequent) -> DataFrame:
-    """(code, n) of kept pairs, and of kept triples as negative codes, over all texts."""
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64((1 << SIEVE_BITS) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def sieve(table: DataFrame, column: str) -> np.ndarray:
+    """The set of a column's hashes modulo the bits, built in shards of 32,768 bits."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    shards = table.select(F.shiftright(slot, 15).alias("shard"), slot.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("shard").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << SIEVE_BITS - 15, 4096), np.uint8)
+    got = shards.toArrow()
+    for shard, bits in zip(got["shard"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        out[shard] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _counted(grams: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, first, n = np.unique(grams, return_index=True, return_counts=True)
+    return key, heads[first], n
+
+
+def count_grams(texts: DataFrame, order: int, bits, name: str) -> DataFrame:
+    """(gram, head, tail, n) of the pairs, or triples, that occur ``LEAST_COUNT`` times in all texts, stored.
+
+    Head and tail are the words of a pair and the pairs of a triple; ``bits`` is the broadcast set of those kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, total = frequent.value, _Counter()
+        kept = bits.value
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def counted() -> pa.RecordBatch:
+            key, head, n = _counted(*map(np.concatenate, zip(*parts, strict=True)))
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(head.view(np.int64)), pa.array(n)], names=["gram", "head", "n"])
+
         for batch in batches:
             for block in blocks(text_column(batch)):
                 hashes, bounds = tokens(block)
                 doc = np.repeat(np.arange(len(block)), np.diff(bounds))
-                pair, triple = _ngram_codes(f.ranks(hashes), doc)
-                total.add(np.concatenate((pair[pair > 0], -triple[triple > 0])))
-        yield from total.batches(["code", "n"])
+                pair, triple = _grams(hashes, doc)
+                below, gram = (hashes, pair) if order == 2 else (pair, triple)
+                well = _passes(kept, below)
+                at = np.flatnonzero((doc[order - 1 :] == doc[: 1 - order]) & well[order - 1 :] & well[order - 2 : -1]) + order - 1
+                parts.append((gram[at], below[at - 1]))
+                if sum(len(g) for g, _ in parts) > 4_000_000:
+                    yield counted()
+        if parts:
+            yield counted()
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, head = (batch.column(c).to_numpy().view(np.uint64) for c in ("gram", "head"))
+            yield batch.append_column("tail", pa.array((gram ^ mix64(head)).view(np.int64)))
 
-    least = max(float(LEAST_COUNT), LEAST_SHARE * frequent.value.total)
-    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = texts.select("text").mapInArrow(run, "gram long, head long, n long")
+    found = found.groupBy("gram").agg(F.min("head").alias("head"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    return written(found.mapInArrow(tails, "gram long, head long, n long, tail long"), name)
 
 
 @dataclass
 class Automaton:
-    """Arcs by sorted code of their n-gram, with base-10 logarithms, and failure weights by code of the context."""
+    """Frequent arcs by sorted code of their n-gram, with base-10 logarithms, and failure weights by context.
+
+    A pair's code is of its words' ranks, a triple's of its first pair's place, from 1, and its last word's rank.
+    A triple's words and pairs occur as often as it does, so they are among these too. Failure weights are those of
+    the whole model.
+    """
 
     total: int
     distinct: int
     unigram: np.ndarray  # by rank; the entry 0 is not used
+    fail_one: np.ndarray  # by rank
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     pair_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
     triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     triple_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    fail_one: np.ndarray = field(default_factory=lambda: np.zeros(_P))
     contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     fail_two: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def codes(self, rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the codes of the pair and the triple that end with it; 0 where there can be no arc."""
+        pair, triple, place = (np.zeros(len(rank), np.int64) for _ in range(3))
+        two = np.flatnonzero((doc[1:] == doc[:-1]) & (rank[1:] > 0) & (rank[:-1] > 0)) + 1
+        pair[two] = rank[two - 1] * _P + rank[two]
+        at, hit = _lookup(self.pairs, pair)
+        place[hit] = at + 1
+        three = np.flatnonzero((doc[1:] == doc[:-1]) & (place[:-1] > 0) & (rank[1:] > 0)) + 1
+        triple[three] = place[three - 1] * _P + rank[three]
+        return pair, triple
+
     def gains(self, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """For each token the logarithm of its probability in its state over that of its unigram arc."""
-        pair, triple = _ngram_codes(rank, doc)
+        pair, triple = self.codes(rank, doc)
         out = np.zeros(len(rank))
         # The state before each token: two words, else one, else none. Failure arcs are added until an arc is found.
         before = np.concatenate(([0], np.where(doc[1:] == doc[:-1], rank[:-1], 0))) if len(rank) else rank
@@ -202,6 +266,15 @@ class Automaton:
         out[rest] += self.fail_one[before[rest]]
         return out
 
+    def missing(self, rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens end a pair, and which a triple, that is no arc here."""
+        out = []
+        for keys, code in zip((self.pairs, self.triples), self.codes(rank, doc), strict=True):
+            no = np.ones(len(rank), bool)
+            no[_lookup(keys, code)[1]] = False
+            out.append(no)
+        return out[0], out[1]
+
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in keys, place in wanted) of the wanted codes, other than 0, that are keys."""
@@ -214,37 +287,58 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[same], some[same]
 
 
-def build(frequent: Frequent, codes: np.ndarray, n: np.ndarray) -> Automaton:
-    """Discounted arcs, and failure weights that make each state's probabilities sum to one."""
-    norm = frequent.total + frequent.distinct + 1
-    count = np.zeros(_P)
-    ranked = frequent.rank > 0
-    count[frequent.rank[ranked]] = frequent.counts[ranked]
-    uni = (count + 1) / norm
-    a = Automaton(frequent.total, frequent.distinct, np.log10(uni))
-    order = np.argsort(codes)
-    codes, n = codes[order], n[order]
-    a.pairs, pair_n = codes[codes > 0], n[codes > 0]
-    head, tail = a.pairs // _P, a.pairs % _P
-    p = (pair_n - DISCOUNT) / count[head] if len(head) else np.zeros(0)
-    a.pair_log = np.log10(p)
-    taken, lower = np.bincount(head, p, minlength=_P), np.bincount(head, uni[tail], minlength=_P)
-    weight = np.where(taken > 0, (1 - taken) / np.maximum(1 - lower, 1e-12), 1.0)
-    a.fail_one = np.log10(np.maximum(weight, 1e-12))
-    triples, triple_n = -codes[codes < 0][::-1], n[codes < 0][::-1]
-    first, second, third = triples // (_T * _T), triples // _T % _T, triples % _T
-    context = first * _P + second
-    k, hit = _lookup(a.pairs, context)  # only contexts that are themselves kept are states
-    a.triples, context, second, third, triple_n = triples[hit], context[hit], second[hit], third[hit], triple_n[hit]
-    p3 = (triple_n - DISCOUNT) / pair_n[k] if len(k) else np.zeros(0)
-    a.triple_log = np.log10(p3)
-    backed = 10 ** a.fail_one[second] * uni[third]
-    at, own = _lookup(a.pairs, second * _P + third)
-    backed[own] = 10 ** a.pair_log[at]
-    a.contexts, state = np.unique(context, return_inverse=True)
-    taken, lower = np.bincount(state, p3, minlength=len(a.contexts)), np.bincount(state, backed, minlength=len(a.contexts))
-    a.fail_two = np.log10(np.maximum((1 - taken) / np.maximum(1 - lower, 1e-12), 1e-12))
-    return a
+def _left(taken: str, lower: str) -> Column:
+    """The failure weight that makes a state's probabilities sum to one."""
+    return F.log10(F.greatest((1 - F.sum(taken)) / F.greatest(1 - F.sum(lower), F.lit(1e-12)), F.lit(1e-12)))
+
+
+def build(counts: DataFrame, frequent: Frequent, pairs: DataFrame, triples: DataFrame) -> tuple[Automaton, DataFrame]:
+    """The automaton of the frequent arcs, and (word, n, weight) of all words, of contexts and of the other arcs.
+
+    A kept pair's words and a kept triple's pairs are kept, so the joins lose nothing.
+    """
+    norm = float(frequent.total + frequent.distinct + 1)
+    least = max(float(LEAST_COUNT), GRAM_SHARE * frequent.total)
+    words = counts.where(F.col("n") >= LEAST_COUNT)
+    head, tail = (words.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")) for c in ("head", "tail"))
+    two = pairs.join(head, "head").join(tail, "tail")
+    two = written(two.select("gram", "head", "tail", "n", "n_head", ((F.col("n") - DISCOUNT) / F.col("n_head")).alias("p"), ((F.col("n_tail") + 1) / norm).alias("lower")), "pairs")
+    first = two.select(F.col("gram").alias("head"), F.col("n").alias("n_head"))
+    last = two.select(F.col("gram").alias("tail"), F.col("p").alias("lower"), F.col("tail").alias("word"))
+    three = triples.join(first, "head").join(last, "tail")
+    three = written(three.select("gram", "head", "word", "n", ((F.col("n") - DISCOUNT) / F.col("n_head")).alias("p"), "lower"), "triples")
+    fails = written(two.groupBy("head").agg(_left("p", "lower").alias("fail"), F.max("n_head").alias("n")), "fails")
+    deep = written(three.groupBy("head").agg(_left("p", "lower").alias("fail")), "deep")
+    two = two.join(deep.select(F.col("head").alias("gram"), F.col("fail").alias("fail_two")), "gram", "left")
+
+    near = fails.where(F.col("n") >= BROADCAST_SHARE * frequent.total).toArrow()
+    rank = lambda column: frequent.ranks(column.to_numpy().view(np.uint64))
+    count = np.zeros(len(frequent.keys) + 1)
+    count[frequent.rank] = frequent.counts
+    fail = np.zeros(len(count))
+    fail[rank(near["head"])] = near["fail"].to_numpy()
+    fail[0] = 0.0
+    a = Automaton(frequent.total, frequent.distinct, np.log10((count + 1) / norm), fail)
+    got = two.where(F.col("n") >= least).select("gram", "head", "tail", "p", "fail_two").toArrow()
+    code = rank(got["head"]) * _P + rank(got["tail"])
+    order = np.argsort(code)
+    a.pairs, a.pair_log = code[order], np.log10(got["p"].to_numpy()[order])
+    back = got["fail_two"].to_numpy()[order]
+    state = ~np.isnan(back)
+    a.contexts, a.fail_two = a.pairs[state], back[state]
+    gram = got["gram"].to_numpy()[order]
+    by = np.argsort(gram)
+    got = three.where(F.col("n") >= least).select("head", "word", "p").toArrow()
+    code = (by[np.searchsorted(gram[by], got["head"].to_numpy())] + 1) * _P + rank(got["word"]) if len(got) else a.triples
+    order = np.argsort(code)
+    a.triples, a.triple_log = code[order], np.log10(got["p"].to_numpy()[order])
+
+    none = F.lit(None).cast("long").alias("n")
+    over = F.log10("p") - F.log10("lower") - F.col("fail")
+    rest = two.where(F.col("n") < least).join(fails.select("head", "fail"), "head").select(F.col("gram").alias("word"), none, (over + F.coalesce("fail_two", F.lit(0.0))).alias("weight"))
+    rest = rest.unionByName(three.where(F.col("n") < least).join(deep, "head").select(F.col("gram").alias("word"), none, over.alias("weight")))
+    rest = rest.unionByName(fails.where(F.col("n") < BROADCAST_SHARE * frequent.total).select(F.col("head").alias("word"), none, F.col("fail").alias("weight")))
+    return a, counts.select("word", "n", F.lit(0.0).alias("weight")).unionByName(written(rest, "arcs"))
 
 
 @dataclass
@@ -252,14 +346,18 @@ class Model:
     counts: DataFrame
     frequent: Frequent
     automaton: Automaton
+    arcs: DataFrame | None = None  # (word, n, weight)
+    sieves: tuple[np.ndarray, np.ndarray] | None = None  # of the kept pairs and triples
 
 
 def learn(texts: DataFrame) -> Model:
+    share = texts.sparkSession.sparkContext.broadcast
     counts = count_words(texts)
     frequent = frequent_words(counts)
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    got = count_ngrams(texts, shared).toArrow()
-    return Model(counts, frequent, build(frequent, got["code"].to_numpy(), got["n"].to_numpy()))
+    pairs = count_grams(texts, 2, share(sieve(counts.where(F.col("n") >= LEAST_COUNT), "word")), "pairs")
+    two = sieve(pairs, "gram")
+    triples = count_grams(texts, 3, share(two), "triples")
+    return Model(counts, frequent, *build(counts, frequent, pairs, triples), (two, sieve(triples, "gram")))
 
 
 SCORED = "word long, row long, times long, doc_id long, n_tokens long, known long, log_sum double, gain double"
@@ -267,11 +365,11 @@ SCORED = "word long, row long, times long, doc_id long, n_tokens long, known lon
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.frequent, model.automaton))
+    shared = docs.sparkSession.sparkContext.broadcast((model.frequent, model.automaton, model.sieves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums for each text and a row for each of its words whose count isn't known here."""
-        f, automaton = shared.value
+        """A row of sums for each text and a row for each of its words and n-grams that isn't known here."""
+        f, automaton, sieves = shared.value
         log_count = np.log10(f.counts + 1.0)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -282,17 +380,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 doc = np.repeat(np.arange(size), np.diff(bounds))
                 place = f.find(hashes)
                 known = place >= 0
-                gain = automaton.gains(np.where(known, f.rank[place] if len(f.rank) else 0, 0), doc)
-                logs = np.bincount(doc[known], log_count[place[known]], minlength=size)
+                rank = np.where(known, f.rank[place] if len(f.rank) else 0, 0)
+                gain = automaton.gains(rank, doc)
+                logs = np.bincount(doc[known], log_count[place[known]], minlength=size).astype(np.float64)
                 numbers = row + np.arange(size)
                 row += size
                 # A text's row of sums meets no count: its word is a hash of its number, and `times` is null.
                 sums = [pa.array(mix64(numbers.astype(np.uint64)).view(np.int64)), pa.array(numbers), pa.nulls(size, pa.int64()), ids.slice(block.first, size), pa.array(np.diff(bounds)), pa.array(np.bincount(doc[known], minlength=size)), pa.array(logs), pa.array(np.bincount(doc, gain, minlength=size))]
                 yield pa.RecordBatch.from_arrays(sums, names=names)
-                other = np.flatnonzero(~known)
-                if len(other):
-                    key = np.lexsort((hashes[other], doc[other]))
-                    h, d = hashes[other][key], doc[other][key]
+                grams, inside = [hashes[~known]], [doc[~known]]
+                if sieves:
+                    for gram, bits, missing, n in zip(_grams(hashes, doc), sieves, automaton.missing(rank, doc), (1, 2), strict=True):
+                        missing[:n] = False
+                        missing[n:] &= doc[n:] == doc[:-n]
+                        missing &= _passes(bits, gram)
+                        grams.append(gram[missing])
+                        inside.append(doc[missing])
+                h, d = np.concatenate(grams), np.concatenate(inside)
+                if len(h):
+                    key = np.lexsort((h, d))
+                    h, d = h[key], d[key]
                     first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
                     m = len(first)
                     null = [pa.nulls(m, pa.int64())] * 3 + [pa.nulls(m, pa.float64())] * 2
@@ -300,11 +407,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     names = [x.split()[0] for x in SCORED.split(", ")]
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
-    joined = parts.join(model.counts, "word", "left")
+    arcs = model.counts.withColumn("weight", F.lit(0.0)) if model.arcs is None else model.arcs
+    joined = parts.join(arcs, "word", "left")
     here = F.col("times").isNotNull() & F.col("n").isNotNull()
     known = F.when(here, F.col("times")).when(F.col("times").isNull(), F.col("known"))
     logs = F.when(here, F.col("times") * F.log10(F.col("n") + 1)).when(F.col("times").isNull(), F.col("log_sum"))
-    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(logs).alias("logs"), F.max("gain").alias("gain"))
+    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(logs).alias("logs"), (F.max("gain") + F.coalesce(F.sum(F.col("times") * F.col("weight")), F.lit(0.0))).alias("gain"))
     norm = float(np.log10(model.frequent.total + model.frequent.distinct + 1.0))
     base = F.col("logs") - F.col("n_tokens") * norm
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.frequent.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))

@@ -187,3 +187,41 @@ def test_pipeline(spark, tables):
         docs = docs.checkpoint()
     assert all("04dbebab91ab" not in r.text for r in got)
     assert len([r.doc_id for r in got if r.doc_id is not None]) == len({r.doc_id for r in got if r.doc_id is not None})
+
+
+def test_all_ngrams_have_arcs(spark, monkeypatch):
+    """Scores against a dictionary of all pairs and triples, with arcs broadcast and with arcs joined by a shuffle."""
+    r = random.Random(11)
+    texts = [" ".join(f"rare{20 * i + j} " + " ".join(r.choice(["a b c", "a b d", "b c", "d"]) for _ in range(4)) for j in range(20)) for i in range(150)]
+    texts += ["zeta eta theta iota"] * 3 + ["eta theta other", "zeta eta", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lists = [(t or "").split() + [None] for t in texts]
+    one, two, three = (Counter(tuple(w[i : i + k]) for w in lists for i in range(len(w) - k + 1)) for k in (1, 2, 3))
+    norm = sum(one.values()) + len(one) + 1
+    two, three = ({g: n for g, n in c.items() if n >= 3} for c in (two, three))
+    assert ("zeta", "eta") in two and len(one) > 2048 and ("eta", "theta", "iota") in three
+    uni = lambda w: (one[w,] + 1) / norm
+    follow = {}
+    for g in [*two, *three]:
+        follow.setdefault(g[:-1], []).append(g[-1])
+
+    def p(context, w):
+        if not context:
+            return uni(w)
+        g = (*context, w)
+        table, below = (two, one) if len(context) == 1 else (three, two)
+        if g in table:
+            return (table[g] - 0.75) / below[context]
+        if context not in follow:
+            return p(context[1:], w)
+        own = follow[context]
+        taken, lower = sum((table[*context, x] - 0.75) / below[context] for x in own), sum(p(context[1:], x) for x in own)
+        return (1 - taken) / (1 - lower) * p(context[1:], w)
+
+    want = {i: sum(math.log10(p(tuple(w[max(0, j - 2) : j]), w[j])) for j in range(len(w))) for i, w in enumerate(lists)}
+    for words_share, share in ((2.5e-7, 1e-6), (2.5e-7, 0.01), (0.005, 0.01), (0.5, 1.0)):
+        monkeypatch.setattr(lm_scoring, "BROADCAST_SHARE", words_share)
+        monkeypatch.setattr(lm_scoring, "GRAM_SHARE", share)
+        monkeypatch.setattr(lm_scoring.frequent_words, "__defaults__", (words_share,))
+        got = {x.doc_id: x.score for x in lm_scoring.score(docs, lm_scoring.learn(docs)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want), (words_share, share)
