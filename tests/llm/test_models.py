@@ -225,3 +225,20 @@ def test_all_ngrams_have_arcs(spark, monkeypatch):
         monkeypatch.setattr(lm_scoring.frequent_words, "__defaults__", (words_share,))
         got = {x.doc_id: x.score for x in lm_scoring.score(docs, lm_scoring.learn(docs)).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want), (words_share, share)
+
+
+def test_thresholds_of_all_trusted_texts(spark):
+    """More than 3,000 trusted texts all count, and a few odd ones don't decide a language's threshold."""
+    r = random.Random(3)
+    rows = [(i, "en", " ".join(r.choice(["the", "other", "on", "ran"]) for _ in range(30))) for i in range(3300)]
+    rows += [(4000 + i, "de", " ".join(r.choice(["der", "andere", "an", "lief"]) for _ in range(30))) for i in range(300)]
+    rows += [(5000 + i, "de", "".join(chr(r.randrange(33, 120)) for _ in range(200))) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, lang) for i, lang, t in rows], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    assert quality_lm.trusted_texts(docs, labels).count() == len(rows)
+    classifier = quality_lm.train(docs, labels)
+    got = quality_lm.perplexities(docs, classifier.model, ["doc_id"]).where("doc_id >= 4000").collect()
+    odd = [x.perplexity for x in got if x.doc_id >= 5000]
+    clean = [x.perplexity for x in got if x.doc_id < 5000]
+    at = classifier.thresholds["de"]
+    assert at < min(odd) and sum(p > at for p in clean) <= 0.05 * len(clean)
