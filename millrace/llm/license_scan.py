@@ -1,10 +1,10 @@
 """License scans by a positional index of rare words, in DataFrame expressions alone.
 
-A template is the wording of a licence notice with mandatory key phrases. Of each template the ``INDEXED`` words of
-highest inverse document frequency, counted over all texts, are indexed with their positions. In a file the index
-words are looked up; each occurrence of one proposes the place where a template that holds it would start. A place
-stands if another of the template's ``ANCHORS`` rarest words is at its relative position too, and is then verified:
-every key phrase must be in place, and the share of the template's words in place, at least ``LEAST``, is the score.
+A template is the wording of a licence notice with mandatory key phrases. Of each template the word of its key
+phrases of highest inverse document frequency, counted over all texts, is indexed with its position; a notice has
+every key phrase whole, so none lacks it. In a file the index words are looked up; each occurrence of one proposes the
+place where a template that holds it would start, which is then verified: every key phrase must be in place, and the
+share of the template's words in place, at least ``LEAST``, is the score.
 The fixed base phrases are found in the same way, by their rarest word, and must match whole.
 
 Everything but the one count of document frequencies is a projection: no shuffle, and a file without index words
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import others
 
-INDEXED, ANCHORS = 2, 5
 LEAST = 0.6
 
 #: Base phrases and their labels.
@@ -65,6 +64,10 @@ def document_frequencies(docs: DataFrame, templates=TEMPLATES, text: str = "text
     return dict.fromkeys(words, 0) | {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
+def _place(wanted: list[str], phrase: list[str]) -> int:
+    return next(j for j in range(len(wanted)) if wanted[j : j + len(phrase)] == phrase)
+
+
 def _standing(words: Column, start: Column, wanted: list[str]) -> Column:
     """How many of the wanted words stand at their places from ``start`` on."""
     return F.size(F.filter(_strings(wanted), lambda w, j: F.coalesce(F.get(words, start + j) == w, F.lit(False))))
@@ -74,9 +77,15 @@ def license_scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLAT
     """``docs`` (or its columns ``keep``) with the base phrases' places and labels and the templates' labels and score."""
     keep = others(docs.columns if keep is None else keep, FIELDS)
     rare = lambda ws, n: sorted(set(ws), key=lambda w: (frequencies.get(w, 0), w))[:n]
-    plans = [(label, wording.split(), keys, rare(wording.split(), ANCHORS)) for label, wording, keys in templates]
+    plans = []
+    for label, wording, keys in templates:
+        wanted = wording.split()
+        spans = [(_place(wanted, key.split()), len(key.split())) for key in keys]
+        # Any word of a key phrase would do; where the word stands twice, one of its places is enough.
+        anchor = min((j for at, n in spans for j in range(at, at + n)), key=lambda j: (frequencies.get(wanted[j], 0), wanted[j], j))
+        plans.append((label, wanted, keys, anchor))
     phrase_anchor = {phrase: rare(phrase.split(), 1)[0] for phrase in BASE}
-    index = sorted({a for *_, anchors in plans for a in anchors[:INDEXED]} | set(phrase_anchor.values()))
+    index = sorted({wanted[anchor] for _, wanted, _, anchor in plans} | set(phrase_anchor.values()))
     none = F.array().cast("array<struct<w:string,at:int>>")
 
     words = F.col("_words")
@@ -91,18 +100,12 @@ def license_scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLAT
     def whole(starts: Column, wanted: list[str]) -> Column:
         return F.filter(starts, lambda s: _standing(words, s, wanted) == len(wanted))
 
-    def agreed(starts: Column, posted: list[tuple[str, int]]) -> Column:
-        def in_place(s: Column) -> Column:
-            return sum((F.when(F.get(words, s + j) == w, 1).otherwise(0) for w, j in posted), F.lit(0))
-
-        return F.filter(F.array_distinct(starts), lambda s: in_place(s) >= min(2, len(posted)))
-
     def score(wanted: list[str], keys: list[str]):
         def at(s: Column) -> Column:
             share = _standing(words, s, wanted) / F.lit(float(len(wanted)))
             in_place = F.lit(True)
             for key in map(str.split, keys):
-                place = next(j for j in range(len(wanted)) if wanted[j : j + len(key)] == key)
+                place = _place(wanted, key)
                 in_place = in_place & (_standing(words, s + place, key) == len(key))
             return F.when(in_place & (share >= LEAST), share).otherwise(F.lit(0.0))
 
@@ -114,10 +117,9 @@ def license_scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLAT
         places[phrase] = f"_base{k}"
         df = df.withColumn(f"_base{k}", whole(proposed(anchor, wanted.index(anchor)), wanted))
     scores = []
-    for k, (_, wanted, keys, anchors) in enumerate(plans):
-        posted = [(w, j) for j, w in enumerate(wanted) if w in anchors]
-        starts = F.flatten(F.array(*[proposed(w, j) for w, j in posted if w in anchors[:INDEXED]]))
-        found = F.coalesce(F.array_max(F.transform(agreed(starts, posted), score(wanted, keys))), F.lit(0.0))
+    for k, (_, wanted, keys, anchor) in enumerate(plans):
+        starts = proposed(wanted[anchor], anchor)
+        found = F.coalesce(F.array_max(F.transform(starts, score(wanted, keys))), F.lit(0.0))
         df = df.withColumn(f"_score{k}", F.when(F.size("_hits") > 0, found).otherwise(F.lit(0.0)))
         scores.append(f"_score{k}")
 

@@ -217,3 +217,18 @@ def test_plans():
             assert bins <= 1.2 * least + 2
         for length, (ranks, _, _) in packing.places(runs).items():
             assert ranks[0] == 0 and list(ranks) == sorted(ranks) and length in counts
+
+
+def test_license_notices_without_rare_words(spark):
+    """Every notice that verifies is found, whichever of its words outside the key phrases it lacks."""
+    texts, want = ["Redistribution and use in source and binary forms, with or without changes, are allowed"], ["bsd"]
+    for label, wording, keys in license_scan.TEMPLATES:
+        words = wording.split()
+        held = {j for key in map(str.split, keys) for at in range(len(words)) if words[at : at + len(key)] == key for j in range(at, at + len(key))}
+        free = [j for j in range(len(words)) if j not in held][: int(len(words) * (1 - license_scan.LEAST))]
+        texts.append(" ".join("zzz" if j in free else w for j, w in enumerate(words)))
+        want.append(label)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frequencies in (license_scan.document_frequencies(df), {}):
+        got = {r.doc_id: r.labels.split(",") for r in license_scan.license_scan(df, frequencies).collect()}
+        assert all(label in got[i] for i, label in enumerate(want))
