@@ -242,3 +242,16 @@ def test_thresholds_of_all_trusted_texts(spark):
     clean = [x.perplexity for x in got if x.doc_id < 5000]
     at = classifier.thresholds["de"]
     assert at < min(odd) and sum(p > at for p in clean) <= 0.05 * len(clean)
+
+
+def test_short_and_repeated_junk_is_rejected(spark):
+    """No text is kept beyond the quantile of trusted texts of its language and length."""
+    r = random.Random(4)
+    word = lambda: r.choice(["the", "other", "on", "ran", "then", "her", "hat"])
+    good = [" ".join(word() for _ in range(r.choice([10, 300]))) for _ in range(1200)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)], "doc_id long, text string, lang string")
+    classifier = quality_lm.train(docs, docs.selectExpr("doc_id", "1 as quality"))
+    junk = spark.createDataFrame([(0, "Zqx| jvk #wq zzv", "en"), (1, "Whha " * 280, "en")], docs.schema)
+    assert [x.kept for x in quality_lm.classify(junk, classifier, ["doc_id", "lang"]).collect()] == [False, False]
+    kept = quality_lm.classify(docs, classifier, ["doc_id", "lang"]).where("kept").count()
+    assert kept >= 0.95 * len(good)
