@@ -4,7 +4,8 @@ The patterns label credentials (assigned values, access keys, hex strings). From
 of each kind a probabilistic automaton is learned (see ``automata``). Every run of 12 or more token characters in
 every text is then a candidate: its likelihood under each automaton is compared with that under an automaton of the
 corpus's ordinary words, and a candidate that a format explains better by ``MARGIN`` nats, at no less than
-``PER_BYTE`` per byte, is a secret of kind "format", unless a pattern's span overlaps it.
+``PER_BYTE`` per byte, is a secret of kind "format"; where patterns' spans overlap it, what
+they leave of it in pieces of 12 or more characters.
 
 Offsets count code points, ends are exclusive, and a span is the whole match of its pattern. Null texts are empty.
 """
@@ -104,7 +105,15 @@ def all_spans(block: Block, formats: Formats) -> dict[int, list[Span]]:
     base, more = base_spans(block), formats.spans(block)
     for row, found in more.items():
         own = base.get(row, [])
-        free = [s for s in found if not any(a < s[2] and s[0] < b for a, _, b in own)]
+        free: list[Span] = []
+        for start, kind, end in found:
+            # What the patterns' spans leave of a run stays a secret, in pieces of a candidate's length.
+            covered = sorted((a, b) for a, _, b in own if a < end and start < b)
+            at = start
+            for a, b in [*covered, (end, end)]:
+                if a - at >= CANDIDATE:
+                    free.append((at, kind, a))
+                at = max(at, b)
         if free:
             base[row] = sorted(own + free)
     return base
