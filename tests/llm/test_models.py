@@ -255,3 +255,22 @@ def test_short_and_repeated_junk_is_rejected(spark):
     assert [x.kept for x in quality_lm.classify(junk, classifier, ["doc_id", "lang"]).collect()] == [False, False]
     kept = quality_lm.classify(docs, classifier, ["doc_id", "lang"]).where("kept").count()
     assert kept >= 0.95 * len(good)
+
+
+def test_rules_learn_from_all_labelled_documents(spark, tables, monkeypatch):
+    """The stage's model has the bad rows that an earlier stage rejected."""
+    import corpus_pipeline
+
+    seen = []
+
+    def train(docs, labels):
+        seen.append(docs.count())
+        raise StopIteration
+
+    monkeypatch.setattr(quality_rules, "train", train)
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    try:
+        corpus_pipeline.rules(spark, docs.limit(2), tables[0])
+    except StopIteration:
+        pass
+    assert seen == [docs.count()]
