@@ -274,3 +274,20 @@ def test_rules_learn_from_all_labelled_documents(spark, tables, monkeypatch):
     except StopIteration:
         pass
     assert seen == [docs.count()]
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    """The two complementary Thue-Morse words are told apart at every length, long words included."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    for n in (8, 16, 64, 256, 1024, 4096):
+        x = a[:n]
+        y = x.translate(str.maketrans("ab", "ba"))
+        (b,) = blocks(_column([f"{x} {y} {x}é {x}"]))
+        h = words(b).hashes.tolist()
+        assert len(set(h)) == 3 and h[0] == h[3]
+    r = random.Random(1)
+    many = ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(5000)]
+    (b,) = blocks(_column([" ".join(many)]), 1 << 20)
+    assert len(set(words(b).hashes.tolist())) == len(set(many))
