@@ -8,7 +8,7 @@ or else accepted itself. Symbols are classes of bytes, so the automaton describe
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -19,6 +19,10 @@ for _k, _chars in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "AB
     for _c in _chars:
         CLASS_OF[ord(_c)] = _k
 CLASS_SIZE = np.bincount(CLASS_OF, minlength=CLASSES)
+#: Coarse classes, for what formats have in common: a digit, a letter of either case, a sign, the rest.
+COARSE = np.array([0, 1, 1, 1, 1, 2, 2, 2, 2, 2, 3, 3])
+#: Share of the background's probability that any byte has in any context, so that nothing costs without bound.
+FLOOR = 0.001
 
 
 @dataclass
@@ -28,6 +32,7 @@ class Automaton:
     step: np.ndarray
     log_step: np.ndarray
     log_end: np.ndarray
+    class_of: np.ndarray = field(default_factory=lambda: CLASS_OF)
 
     def log_likelihood(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of many byte runs, one step of all of them at a time."""
@@ -37,7 +42,7 @@ class Automaton:
         live = len(starts)
         for k in range(int(sizes[0]) if live else 0):
             live = int(np.searchsorted(-sizes, -k, side="left"))
-            symbol = CLASS_OF[data[starts[:live] + k]]
+            symbol = self.class_of[data[starts[:live] + k]]
             total[:live] += self.log_step[state[:live], symbol]
             state[:live] = self.step[state[:live], symbol]
         out = np.empty(len(starts))
@@ -51,15 +56,18 @@ def _differ(f1: int, n1: int, f2: int, n2: int, alpha: float) -> bool:
     return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
 
-def learn(examples: list[bytes], alpha: float = 0.05, smoothing: float = 0.02) -> Automaton | None:
-    """The automaton of the examples, the same for any order of them; None without examples."""
+def learn(examples: list[bytes], alpha: float = 0.05, smoothing: float = 0.02, coarse: bool = False) -> Automaton | None:
+    """The automaton of the examples, over coarse classes if asked, the same for any order of them; None without any."""
     if not examples:
         return None
+    class_of = COARSE[CLASS_OF] if coarse else CLASS_OF
+    classes = int(class_of.max()) + 1
+    class_size = np.bincount(class_of, minlength=classes)
     count, end, children = [0], [0], [{}]
     for example in sorted(examples):
         node = 0
         count[0] += 1
-        for c in CLASS_OF[np.frombuffer(example, np.uint8)].tolist():
+        for c in class_of[np.frombuffer(example, np.uint8)].tolist():
             if c not in children[node]:
                 children[node][c] = len(count)
                 count.append(0)
@@ -115,18 +123,59 @@ def learn(examples: list[bytes], alpha: float = 0.05, smoothing: float = 0.02) -
         blue = sorted(known)
     number = {s: i for i, s in enumerate(red)}
     dead = len(red)
-    step = np.full((dead + 1, CLASSES), dead)
-    counts = np.full((dead + 1, CLASSES + 1), smoothing)
+    step = np.full((dead + 1, classes), dead)
+    counts = np.full((dead + 1, classes + 1), smoothing)
     for s, i in number.items():
         for c, t in children[s].items():
             step[i, c] = number[t]
-        counts[i, CLASSES] += end[s]
+        counts[i, classes] += end[s]
     # The flow through each edge, by running the examples once more.
     for example in examples:
         i = 0
-        for c in CLASS_OF[np.frombuffer(example, np.uint8)].tolist():
+        for c in class_of[np.frombuffer(example, np.uint8)].tolist():
             counts[i, c] += 1
             i = step[i, c]
     probability = counts / counts.sum(axis=1, keepdims=True)
-    log_step = np.log(probability[:, :CLASSES]) - np.log(np.maximum(CLASS_SIZE, 1))
-    return Automaton(step, log_step, np.log(probability[:, CLASSES]))
+    log_step = np.log(probability[:, :classes]) - np.log(np.maximum(class_size, 1))
+    return Automaton(step, log_step, np.log(probability[:, classes]), class_of)
+
+
+#: Contexts of the background: the classes of the two bytes before, ``CLASSES`` standing for what precedes a run.
+CONTEXTS = (CLASSES + 1) ** 2
+
+
+def context_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often each class, or the end (``CLASSES``), follows each context in the byte runs; flat, ``CONTEXTS`` rows."""
+    code, _ = _contexts(data, starts, ends)
+    return np.bincount(code, minlength=CONTEXTS * (CLASSES + 1))
+
+
+def _contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each run and for its end, its context and class as one number; and where each run's begin."""
+    size = ends - starts + 1
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    symbol = np.full(len(place), CLASSES)
+    inside = place < np.repeat(size - 1, size)
+    symbol[inside] = CLASS_OF[data[(np.repeat(starts, size) + place)[inside]]]
+    one, two = np.full(len(place), CLASSES), np.full(len(place), CLASSES)
+    one[1:], two[2:] = symbol[:-1], symbol[:-2]
+    one[place < 1], two[place < 2] = CLASSES, CLASSES
+    return (two * (CLASSES + 1) + one) * (CLASSES + 1) + symbol, first
+
+
+class Background:
+    """The automaton of ordinary words, whose states are the classes of the last two bytes, from counts of all of them."""
+
+    def __init__(self, counts: np.ndarray):
+        n = np.asarray(counts, np.float64).reshape(CLASSES + 1, CLASSES + 1, CLASSES + 1)
+        share = np.full(CLASSES + 1, 1 / (CLASSES + 1))
+        for level in (n.sum(axis=(0, 1)), n.sum(axis=0), n):
+            share = (level + share) / (level.sum(axis=-1, keepdims=True) + 1)
+        share = (1 - FLOOR) * share + FLOOR / (CLASSES + 1)
+        self.logs = (np.log(share) - np.log(np.append(np.maximum(CLASS_SIZE, 1), 1))).ravel()
+
+    def log_likelihood(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of many byte runs."""
+        code, first = _contexts(data, starts, ends)
+        return np.add.reduceat(self.logs[code], first) if len(first) else np.zeros(0)

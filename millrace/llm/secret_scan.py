@@ -1,32 +1,39 @@
 """Secret scans: fixed patterns, and formats learned from the credentials that those patterns find.
 
 The patterns label credentials (assigned values, access keys, hex strings). From at most ``PER_KIND`` distinct ones
-of each kind a probabilistic automaton is learned (see ``automata``). Every run of 12 or more token characters in
-every text is then a candidate: its likelihood under each automaton is compared with that under an automaton of the
-corpus's ordinary words, and a candidate that a format explains better by ``MARGIN`` nats, at no less than
-``PER_BYTE`` per byte, is a secret of kind "format"; where patterns' spans overlap it, what
-they leave of it in pieces of 12 or more characters.
-
-Offsets count code points, ends are exclusive, and a span is the whole match of its pattern. Null texts are empty.
+of each kind, of at most ``LONGEST`` bytes, a probabilistic automaton over byte classes is learned by state merging
+(see ``automata``), and from those of all kinds together one over coarse classes, of what formats have in common.
+Ordinary words are the other runs of 12 or more token characters that don't mix letters with digits; all of them in
+all texts, as often as they occur, are counted into a background automaton. Every run of 12 or more token characters
+that mixes them is then a candidate: one that a format explains better than the background by ``MARGIN`` nats, at no less
+than ``PER_BYTE`` per byte, is a secret of kind "format"; where patterns' spans overlap it, what they leave of it in
+pieces of 12 or more characters. Mixed runs are in neither training set, so keys that no pattern knows don't become
+ordinary by being frequent; a run of letters or of digits alone is ordinary by definition.
+
+Offsets count code points, ends are exclusive, and a span is the whole match of its pattern. Null texts are empty and
+empty texts have no spans; repeated rows have the same spans, each its own; of credentials that are taken for training
+those first by a hash count, and equal hashes are ordered by value. Without labelled credentials there are no formats.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.automata import CLASS_OF, Automaton, learn
-from millrace.llm.bytetext import LOWER, Block, blocks, hash_spans, spans, text_column
-from millrace.llm.common import append_columns
+from millrace.llm.automata import CLASS_OF, CLASSES, CONTEXTS, Automaton, Background, context_counts, learn
+from millrace.llm.bytetext import LOWER, Block, blocks, spans, text_column
+from millrace.llm.common import append_columns, checkpointed
 
-#: Distinct credentials of each kind, and ordinary words, from which an automaton is learned, at most.
-PER_KIND = 400
+#: Distinct labelled credentials of each kind from which automata are learned, at most, and their bytes.
+PER_KIND, LONGEST = 400, 4096
+#: Parts by which a kind's credentials are ranked first, so that no task holds more than ``PER_KIND`` of each part.
+RANK_PARTS = 256
 MARGIN, PER_BYTE = 12.0, 0.5
 CANDIDATE = 12
 KINDS = ("assign", "access", "hex", "format")
@@ -78,17 +85,33 @@ def base_spans(block: Block) -> dict[int, list[Span]]:
     return out
 
 
+def _candidates(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends = spans(block, _TOKEN[block.data])
+    long = ends - starts >= CANDIDATE
+    return starts[long], ends[long]
+
+
+def _mixed(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which runs hold both letters and digits."""
+    classes = CLASS_OF[block.data]
+    held = []
+    for of in (classes == 0, (classes > 0) & (classes < 5)):
+        total = np.concatenate(([0], np.cumsum(of)))
+        held.append(total[ends] > total[starts])
+    return held[0] & held[1]
+
+
 class Formats:
     """Automata of credentials and of ordinary words."""
 
-    def __init__(self, formats: list[Automaton], ordinary: Automaton | None):
+    def __init__(self, formats: list[Automaton], ordinary: Background | Automaton | None):
         self.formats, self.ordinary = formats, ordinary
 
     def spans(self, block: Block) -> dict[int, list[Span]]:
         """All candidates that a format explains, by row of the block."""
-        starts, ends = spans(block, _TOKEN[block.data])
-        long = ends - starts >= CANDIDATE
-        starts, ends = starts[long], ends[long]
+        starts, ends = _candidates(block)
+        mixed = _mixed(block, starts, ends)
+        starts, ends = starts[mixed], ends[mixed]
         if not self.formats or self.ordinary is None or not len(starts):
             return {}
         best = np.max([f.log_likelihood(block.data, starts, ends) for f in self.formats], axis=0)
@@ -126,39 +149,60 @@ def in_code_points(text: bytes, found: list[Span]) -> list[Span]:
     return [(int(at[a]), k, int(at[b])) for a, k, b in found]
 
 
+def _ordinary(block: Block, base: dict[int, list[Span]]) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates that no pattern's span overlaps and that don't mix letters with digits."""
+    starts, ends = _candidates(block)
+    covered = np.zeros(len(block.data) + 1, np.int64)
+    for row, own in base.items():
+        for a, _, b in own:
+            covered[block.starts[row] + a] += 1
+            covered[block.starts[row] + b] -= 1
+    total = np.concatenate(([0], np.cumsum(np.cumsum(covered[:-1]) > 0)))
+    plain = (total[ends] == total[starts]) & ~_mixed(block, starts, ends)
+    return starts[plain], ends[plain]
+
+
+EXAMPLES = "kind string, value binary, n long"
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, value) of the credentials and of the ordinary words of 12 or more characters, each once a block."""
+    """(kind, value) of the credentials, each once a block, and at the end (context, n) of the ordinary words."""
+    names = [x.split()[0] for x in EXAMPLES.split(", ")]
+    counts = np.zeros(CONTEXTS * (CLASSES + 1), np.int64)
     for batch in batches:
-        kinds, values = [], []
+        found: set[tuple[str, bytes]] = set()
         for block in blocks(text_column(batch)):
-            found: set[tuple[str, bytes]] = set()
-            for row, own in base_spans(block).items():
+            base = base_spans(block)
+            for row, own in base.items():
                 text = block.text(row)
                 for a, k, b in own:
                     value = ASSIGN.fullmatch(text[a:b])[2] if k == 0 else text[a:b]
-                    found.add((KINDS[k], value))
-            starts, ends = spans(block, _TOKEN[block.data])
-            long = np.flatnonzero(ends - starts >= CANDIDATE)
-            digits = np.concatenate(([0], np.cumsum(CLASS_OF[block.data] == 0)))
-            long = long[digits[ends[long]] == digits[starts[long]]]
-            # A few words of each block, those first by a hash, stand for its ordinary words.
-            first = long[np.argsort(hash_spans(block.data, starts[long], ends[long]), kind="stable")[:40]]
-            found |= {("word", block.data[a:b].tobytes()) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)}
-            kinds += [k for k, _ in found]
-            values += [v for _, v in found]
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary())], names=["kind", "value"])
-
-
-def learn_formats(docs: DataFrame, per_kind: int = PER_KIND) -> Formats:
-    """Automata from credentials of all texts: of each kind the ``per_kind`` distinct ones first by a hash."""
-    found = docs.select("text").mapInArrow(_examples, "kind string, value binary").where(F.length("value") <= 4096)
+                    if len(value) <= LONGEST:
+                        found.add((KINDS[k], value))
+            counts += context_counts(block.data, *_ordinary(block, base))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.binary()), pa.nulls(len(found), pa.int64())], names=names)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.string()), pa.array([str(i).encode() for i in used.tolist()], pa.binary()), pa.array(counts[used])], names=names)
+
+
+def learn_formats(docs: DataFrame, per_kind: int = PER_KIND, without: Sequence[str] = ()) -> Formats:
+    """Automata from credentials of all texts: of each kind the ``per_kind`` distinct ones first by a hash.
+
+    Kinds in ``without`` are left out, to measure how well the others' formats find them.
+    """
+    found = checkpointed(docs.select("text").mapInArrow(_examples, EXAMPLES))
+    counts = np.zeros(CONTEXTS * (CLASSES + 1), np.int64)
+    for r in found.where("kind is null").groupBy("value").agg(F.sum("n").alias("n")).collect():
+        counts[int(bytes(r.value))] = r.n
     order = (F.xxhash64("value"), F.col("value"))
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= per_kind)
+    known = found.where(F.col("kind").isNotNull() & ~F.col("kind").isin(list(without))).select("kind", "value").distinct()
+    known = first(known.withColumn("part", F.pmod(F.xxhash64("value", F.lit(1)), F.lit(RANK_PARTS))), "kind", "part")
     by: dict[str, list[bytes]] = {}
-    ranked = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("n") <= per_kind)
-    for kind, value in ranked.select("kind", "value").collect():
+    for kind, value in first(known, "kind").select("kind", "value").collect():
         by.setdefault(kind, []).append(bytes(value))
-    ordinary = learn(by.pop("word", []) or [b"abcdefghijkl"])
-    return Formats([a for k in sorted(by) if (a := learn(by[k]))], ordinary)
+    whole = learn(sorted({v for own in by.values() for v in own}), coarse=True)
+    return Formats([a for k in sorted(by) if (a := learn(by[k]))] + ([whole] if whole else []), Background(counts))
 
 
 FIELDS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
