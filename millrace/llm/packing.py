@@ -3,17 +3,21 @@
 Texts become token ids with an end id; only those longer than the capacity are cut. The counts of pieces by length,
 at most ``capacity`` numbers, reach the driver and are packed there as counts:
 
-1. Large lengths are sorted and dealt to groups of equal cardinality; each is rounded up to its group's largest.
-2. For the rounded sizes, few and large, configurations of a bin are chosen one after another: the largest size
-   left with the fullest possible choice of the others, used as often as the counts allow.
+1. Large lengths, over a third of the capacity, are sorted and dealt to ``GROUPS`` groups of equal cardinality; each is
+   rounded up to its group's largest, so few sizes are left.
+2. Over those sizes the configurations of a bin are optimised: a linear program that covers all counts with the
+   fewest bins, whose configurations are generated as they pay, by a knapsack over the sizes' dual prices. Its whole
+   parts are used; the rest of the counts is packed by the fullest choice for the largest size left.
 3. The pieces' own lengths replace the rounded ones, group by group, which frees what rounding had added.
 4. Small lengths, largest first, go to the bins that they fill best; those left over get bins of their own.
 
 The plan is a list of runs, bins of equal content, as long as there are lengths and configurations and not longer
 with more pieces. Each piece then looks up its place by its length and its rank within its length. Ranks come from
-counts by (length, one of ``RANK_PARTS`` hashes of the id), so pieces of one length are never all in one task.
+counts by (length, part); a length has as many parts, by a hash of the piece, as it needs of ``RANK_ROWS`` pieces, so a
+length that many pieces share is never in one task.
 
-Null and empty texts are one piece, the end id alone. Repeated rows are packed each on their own.
+Null and empty texts are one piece, the end id alone. Repeated rows are packed each on their own. Pieces of equal length
+are interchangeable: which of them takes which place may differ from run to run, the number of sequences doesn't.
 """
 
 from __future__ import annotations
@@ -35,9 +39,10 @@ from millrace.llm.common import checkpointed
 
 CAPACITY = 2048
 #: Groups of equal cardinality; lengths up to capacity / SMALL are packed last.
-GROUPS = 2000
-SMALL = 6
-RANK_PARTS = 64
+GROUPS = 64
+SMALL = 3
+#: Pieces of one length that are ranked in one task, about.
+RANK_ROWS = 20_000
 MEMO_ENTRIES = 1_000_000
 
 
@@ -198,8 +203,73 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> list[tuple[int, int, list[int]]]:
-    """Runs of bins, (first bin, how many, the lengths in each of them), that hold all pieces of the counted lengths."""
+def _best_column(sizes: list[int], price: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration of highest price: how many of each size."""
+    worth, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    size = np.array(sizes)
+    for c in range(int(size.min()), capacity + 1):
+        fits = np.flatnonzero(size <= c)
+        value = worth[c - size[fits]] + price[fits]
+        k = int(np.argmax(value))
+        if value[k] > worth[c - 1] + 1e-12:
+            worth[c], last[c] = value[k], fits[k]
+        else:
+            worth[c] = worth[c - 1]
+    out, c = np.zeros(len(sizes)), capacity
+    while c > 0:
+        if last[c] < 0:
+            c -= 1
+        else:
+            out[last[c]] += 1
+            c -= sizes[last[c]]
+    return out
+
+
+def optimised(sizes: list[int], counts: list[int], capacity: int, rounds: int = 1000) -> list[tuple[int, dict[int, int]]]:
+    """(how often, {place of a size: how many in a bin}): the whole parts of the linear program's configurations.
+
+    The revised simplex method: every basis covers the counts, so stopping after ``rounds`` costs bins and no piece.
+    """
+    if not sizes:
+        return []
+    need = np.array(counts, float)
+    basis = np.diag([float(capacity // s) for s in sizes])
+    for _ in range(rounds):
+        amount = np.linalg.solve(basis, need)
+        price = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        column = _best_column(sizes, price, capacity)
+        if price @ column <= 1 + 1e-9:
+            break
+        change = np.linalg.solve(basis, column)
+        up = np.flatnonzero(change > 1e-9)
+        ratio = np.maximum(amount[up], 0) / change[up]
+        basis[:, up[int(np.argmin(ratio))]] = column
+    amount = np.linalg.solve(basis, need)
+    left, out = list(counts), []
+    for column, x in zip(basis.T, amount, strict=True):
+        use = {int(j): int(column[j]) for j in np.flatnonzero(column)}
+        times = min([int(x + 1e-6), *(left[j] // m for j, m in use.items())])
+        if times > 0:
+            out.append((times, use))
+            for j, m in use.items():
+                left[j] -= times * m
+    return out + configurations(sizes, left, capacity)
+
+
+Plan = list[tuple[int, int, list[int]]]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> Plan:
+    """Runs of bins, (first bin, how many, the lengths in each of them), that hold all pieces of the counted lengths.
+
+    Where there are few pieces, the linear program's fractions cost more than it gains, so the plan that takes every
+    configuration by the fullest choice is made too, and the one of fewer bins is returned.
+    """
+    made = [_planned(counts, capacity, groups, small, way) for way in (optimised, configurations)]
+    return min(made, key=lambda runs: sum(n for _, n, _ in runs))
+
+
+def _planned(counts: dict[int, int], capacity: int, groups: int, small: int, configured) -> Plan:
     limit = capacity // small
     large = sorted(((s, n) for s, n in counts.items() if s > limit and n), reverse=True)
     minor = sorted(((s, n) for s, n in counts.items() if s <= limit and n), reverse=True)
@@ -210,7 +280,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     sizes = sorted(by_size, reverse=True)
     todo = [list(reversed(by_size[s])) for s in sizes]
     bins: list[tuple[int, list[int]]] = []
-    for times, use in configurations(sizes, [sum(n for _, n in by_size[s]) for s in sizes], capacity):
+    for times, use in configured(sizes, [sum(n for _, n in by_size[s]) for s in sizes], capacity):
         slots = []
         for j, m in sorted(use.items()):
             for _ in range(m):
@@ -302,32 +372,38 @@ def pack(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The rows are read twice and must be the same both times; pass a stored table.
     """
-    keyed = df.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int"))
-    counted = keyed.groupBy("length", "_part").agg(F.count("*").alias("n")).collect()
-    table = np.zeros((capacity + 1, RANK_PARTS), np.int64)
-    for r in counted:
-        table[r.length, r._part] = r.n
-    before = np.cumsum(table, axis=1) - table
-    total = table.sum(axis=1)
+    total = np.zeros(capacity + 1, np.int64)
+    for r in df.groupBy("length").agg(F.count("*").alias("n")).collect():
+        total[r.length] = r.n
+    parts = 1 + total // RANK_ROWS
+    first = np.cumsum(parts) - parts
+    wanted = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("length").cast("int") + 1)
+    keyed = df.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start"), wanted).cast("int"))
+    # One number for each part, about as many as lengths and a RANK_ROWS-th of the pieces.
+    before = np.zeros(int(parts.sum()), np.int64)
+    for r in keyed.groupBy("length", "_part").agg(F.count("*").alias("n")).collect():
+        before[first[r.length] + r._part] = r.n
+    run_up = np.cumsum(before) - before
+    before = run_up - np.repeat(run_up[first], parts)
     at = places(plan({int(s): int(total[s]) for s in np.flatnonzero(total)}, capacity))
-    shared = df.sparkSession.sparkContext.broadcast((before, at))
+    shared = df.sparkSession.sparkContext.broadcast((first, before, at))
     schema = T.StructType([*df.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, at = shared.value
+        first_part, before, at = shared.value
         seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             length = batch.column(batch.schema.get_field_index("length")).to_numpy()
             part = batch.column(batch.schema.get_field_index("_part")).to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            key = length * RANK_PARTS + part
+            key = first_part[length] + part
             order = np.argsort(key, kind="stable")
             edges = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True]))) if len(key) else np.zeros(0, int)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 rows = order[a:b]
                 own = int(length[rows[0]]), int(part[rows[0]])
-                rank = before[own] + seen.get(own, 0) + np.arange(b - a)
+                rank = before[first_part[own[0]] + own[1]] + seen.get(own, 0) + np.arange(b - a)
                 seen[own] = seen.get(own, 0) + b - a
                 ranks, first, where = at[own[0]]
                 k = np.searchsorted(ranks, rank, side="right") - 1
