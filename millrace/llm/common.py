@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,9 +11,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm.bytetext import text_column
-from millrace.storage import checkpointed, shared_folder
+from millrace.storage import checkpointed, dropped, shared_folder
+from millrace.storage import stored as written
 
-__all__ = ["append_columns", "checkpointed", "fold", "labelled_sample", "others", "shared_folder", "table", "written"]
+__all__ = ["append_columns", "checkpointed", "dropped", "fold", "labelled_sample", "others", "shared_folder", "table", "written"]
 
 #: make() runs once in a task and returns a function from a text column to the new columns.
 Maker = Callable[[], Callable[[pa.LargeStringArray], Sequence[pa.Array]]]
@@ -29,13 +29,6 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def others(columns: Sequence[str], names: Sequence[str]) -> list[str]:
     """The columns whose names aren't among ``names``, in any case of letters."""
     taken = {n.lower() for n in names}

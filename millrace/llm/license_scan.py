@@ -73,7 +73,8 @@ def word_array(text: Column) -> Column:
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """The words as an array, which the optimizer folds to a constant."""
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def _vocabulary(templates) -> list[str]:
@@ -136,17 +137,17 @@ def license_scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLAT
 
         return at
 
-    places = {}
+    places, found = {}, {}
     for k, (phrase, anchor) in enumerate(phrase_anchor.items()):
         wanted = phrase.split()
         places[phrase] = f"_base{k}"
-        df = df.withColumn(f"_base{k}", whole(proposed(anchor, wanted.index(anchor)), wanted))
-    scores = []
-    for k, (_, wanted, keys, anchors) in enumerate(plans):
+        found[f"_base{k}"] = whole(proposed(anchor, wanted.index(anchor)), wanted)
+    scores = [f"_score{k}" for k in range(len(plans))]
+    for name, (_, wanted, keys, anchors) in zip(scores, plans, strict=True):
         starts = reduce(F.array_intersect, [proposed(wanted[j], j) for j in anchors])
-        found = F.coalesce(F.array_max(F.transform(starts, score(wanted, keys))), F.lit(0.0))
-        df = df.withColumn(f"_score{k}", F.when(F.size("_hits") > 0, found).otherwise(F.lit(0.0)))
-        scores.append(f"_score{k}")
+        best = F.coalesce(F.array_max(F.transform(starts, score(wanted, keys))), F.lit(0.0))
+        found[name] = F.when(F.size("_hits") > 0, best).otherwise(F.lit(0.0))
+    df = df.withColumns(found)
 
     every = F.flatten(F.array(*[F.col(c) for c in places.values()]))
     base = lambda: [F.when(F.size(c) > 0, F.lit(BASE[p])) for p, c in places.items()]

@@ -7,18 +7,23 @@ those that occur ``LEAST_COUNT`` times are kept, with an absolute discount. A ke
 pair's two words occur as often, so bit sets of what was kept below spare the shuffle most of the others; a false
 positive is counted and dropped, so they never affect the result. The arcs are tables in the shared folder.
 
-Automaton. States are the contexts with kept continuations: none, one word, two words. A kept n-gram is an arc; a
-state without an arc for a word takes its failure arc, at the weight of backing off, to the context without its
-oldest word. At the empty context every word has its unigram arc. The state after a word is the longest suffix of
-what was read that is a state, so a text is scored from left to right in one traversal, here that of all texts of a
-block side by side.
+Automaton. States are the contexts: none, one word, two words (a kept pair). The state table gives each state its
+failure arc, to the context without its oldest word, with the weight of backing off. A kept pair is an arc from its
+first word's state to its own, a kept triple one from its first pair's state to its last pair's. A text is read from
+left to right in one traversal that carries one state: where the state has no arc for the next word, failure arcs are
+taken, their weights added, until one has; at the empty context every word has its unigram arc. The state after a word
+depends on two words alone, so a long text is cut into segments, each started two words early at the empty context,
+and the segments of a block are traversed side by side.
 
 Scoring. Words of a share of at least ``BROADCAST_SHARE`` and n-grams of at least ``GRAM_SHARE``, at most the inverse,
-are looked up in broadcast tables. A path's weight is a sum over its words, pairs and triples: of each failure
+are arcs of a broadcast automaton. A path's weight is a sum over its words, pairs and triples: of each failure
 weight, and of each arc what it has over the path below it. So for the others, (n-gram, text) rows are joined by a
 shuffle with counts and weights. No table that grows with the vocabulary or the arcs is broadcast or collected.
+Tables that only the training reads are removed after it; those of the words and the arcs stay, as the result reads
+them.
 
 Null texts are empty: one token, the end. Repeated rows are scored each on its own; every training row counts.
+Words and n-grams of equal count, ties of rank, are ordered by their hash, which moves no score.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytetext import Block, blocks, mix64, text_column, words
-from millrace.llm.common import fold, table, written
+from millrace.llm.common import dropped, fold, table, written
 
 BROADCAST_SHARE, GRAM_SHARE = 2.5e-7, 1e-6
 #: Bits of the sets of kept hashes, as a power of two.
@@ -209,71 +214,75 @@ def count_grams(texts: DataFrame, order: int, bits, name: str) -> DataFrame:
             gram, head = (batch.column(c).to_numpy().view(np.uint64) for c in ("gram", "head"))
             yield batch.append_column("tail", pa.array((gram ^ mix64(head)).view(np.int64)))
 
-    found = texts.select("text").mapInArrow(run, "gram long, head long, n long")
+    # Each task has counted its own, so what helps is one aggregation after the shuffle and none before it.
+    found = texts.select("text").mapInArrow(run, "gram long, head long, n long").repartition("gram")
     found = found.groupBy("gram").agg(F.min("head").alias("head"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
     return written(found.mapInArrow(tails, "gram long, head long, n long, tail long"), name)
 
 
+#: Tokens of a segment of a text.
+SEGMENT = 256
+
+
 @dataclass
 class Automaton:
-    """Frequent arcs by sorted code of their n-gram, with base-10 logarithms, and failure weights by context.
+    """The state table and the arcs of the frequent n-grams, with base-10 logarithms; weights are the whole model's.
 
-    A pair's code is of its words' ranks, a triple's of its first pair's place, from 1, and its last word's rank.
-    A triple's words and pairs occur as often as it does, so they are among these too. Failure weights are those of
-    the whole model.
+    State 0 is the empty context, 1 to the number of frequent words a word by its rank, and then come the pairs. An
+    arc's key is its state times ``_P`` and its word's rank, from 1; ``arc_gain`` is its logarithm over the unigram's.
     """
 
     total: int
     distinct: int
     unigram: np.ndarray  # by rank; the entry 0 is not used
-    fail_one: np.ndarray  # by rank
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    triple_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    fail_two: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def codes(self, rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the codes of the pair and the triple that end with it; 0 where there can be no arc."""
-        pair, triple, place = (np.zeros(len(rank), np.int64) for _ in range(3))
-        two = np.flatnonzero((doc[1:] == doc[:-1]) & (rank[1:] > 0) & (rank[:-1] > 0)) + 1
-        pair[two] = rank[two - 1] * _P + rank[two]
-        at, hit = _lookup(self.pairs, pair)
-        place[hit] = at + 1
-        three = np.flatnonzero((doc[1:] == doc[:-1]) & (place[:-1] > 0) & (rank[1:] > 0)) + 1
-        triple[three] = place[three - 1] * _P + rank[three]
-        return pair, triple
-
-    def gains(self, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """For each token the logarithm of its probability in its state over that of its unigram arc."""
-        pair, triple = self.codes(rank, doc)
-        out = np.zeros(len(rank))
-        # The state before each token: two words, else one, else none. Failure arcs are added until an arc is found.
-        before = np.concatenate(([0], np.where(doc[1:] == doc[:-1], rank[:-1], 0))) if len(rank) else rank
-        two = np.zeros(len(rank), np.int64)
-        two[1:] = np.where(doc[1:] == doc[:-1], pair[:-1], 0)
-        done = np.zeros(len(rank), bool)
-        at, hit = _lookup(self.triples, triple)
-        done[hit] = True
-        out[hit] = self.triple_log[at] - self.unigram[rank[hit]]
-        at, hit = _lookup(self.contexts, np.where(done, 0, two))
-        out[hit] += self.fail_two[at]
-        at, hit = _lookup(self.pairs, np.where(done, 0, pair))
-        done[hit] = True
-        out[hit] += self.pair_log[at] - self.unigram[rank[hit]]
-        rest = ~done
-        out[rest] += self.fail_one[before[rest]]
-        return out
-
-    def missing(self, rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which tokens end a pair, and which a triple, that is no arc here."""
-        out = []
-        for keys, code in zip((self.pairs, self.triples), self.codes(rank, doc), strict=True):
-            no = np.ones(len(rank), bool)
-            no[_lookup(keys, code)[1]] = False
-            out.append(no)
-        return out[0], out[1]
+    fail_to: np.ndarray
+    fail_weight: np.ndarray
+    arcs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    arc_to: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    arc_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def walk(self, rank: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token of texts at ``bounds`` its log-probability in its state over the unigram's, and the words of
+        context of the arc taken, 0 to 2."""
+        size = np.diff(bounds)
+        pieces = -(-size // SEGMENT)
+        own = np.repeat(np.arange(len(size)), pieces)
+        place = (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        first = bounds[own] + place
+        begin, end = np.maximum(first - 2, bounds[own]), np.minimum(first + SEGMENT, bounds[own + 1])
+        order = np.argsort(begin - end, kind="stable")
+        first, begin, length = first[order], begin[order], (end - begin)[order]
+        gain, depth = np.zeros(len(rank)), np.zeros(len(rank), np.int8)
+        carried = np.zeros(len(begin), np.int64)
+        n_words = len(self.unigram) - 1
+        for step in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length, -step, side="left"))
+            word = rank[begin[:live] + step]
+            state, weight = carried[:live].copy(), np.zeros(live)
+            level = np.zeros(live, np.int8)
+            after = word.copy()  # the unigram arcs' states
+            todo = np.flatnonzero((state > 0) & (word > 0))
+            lost = np.flatnonzero((state > 0) & (word == 0))
+            while len(todo):
+                at, hit = _lookup(self.arcs, state[todo] * _P + word[todo])
+                found = todo[hit]
+                weight[found] += self.arc_gain[at]
+                after[found] = self.arc_to[at]
+                level[found] = 1 + (state[found] > n_words)
+                missed = np.ones(len(todo), bool)
+                missed[hit] = False
+                todo = todo[missed]
+                weight[todo] += self.fail_weight[state[todo]]
+                state[todo] = self.fail_to[state[todo]]
+                todo = todo[state[todo] > 0]
+            while len(lost):  # an unknown word has no arc but the empty context's
+                weight[lost] += self.fail_weight[state[lost]]
+                state[lost] = self.fail_to[state[lost]]
+                lost = lost[state[lost] > 0]
+            carried[:live] = after
+            real = np.flatnonzero(begin[:live] + step >= first[:live])
+            gain[begin[real] + step], depth[begin[real] + step] = weight[real], level[real]
+        return gain, depth
 
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,43 +311,49 @@ def build(counts: DataFrame, frequent: Frequent, pairs: DataFrame, triples: Data
     words = counts.where(F.col("n") >= LEAST_COUNT)
     head, tail = (words.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")) for c in ("head", "tail"))
     two = pairs.join(head, "head").join(tail, "tail")
-    two = written(two.select("gram", "head", "tail", "n", "n_head", ((F.col("n") - DISCOUNT) / F.col("n_head")).alias("p"), ((F.col("n_tail") + 1) / norm).alias("lower")), "pairs")
-    first = two.select(F.col("gram").alias("head"), F.col("n").alias("n_head"))
-    last = two.select(F.col("gram").alias("tail"), F.col("p").alias("lower"), F.col("tail").alias("word"))
+    own = written(two.select("gram", "head", "tail", "n", "n_head", ((F.col("n") - DISCOUNT) / F.col("n_head")).alias("p"), ((F.col("n_tail") + 1) / norm).alias("lower")), "pairs")
+    first = own.select(F.col("gram").alias("head"), F.col("n").alias("n_head"))
+    last = own.select(F.col("gram").alias("tail"), F.col("p").alias("lower"), F.col("tail").alias("word"))
     three = triples.join(first, "head").join(last, "tail")
-    three = written(three.select("gram", "head", "word", "n", ((F.col("n") - DISCOUNT) / F.col("n_head")).alias("p"), "lower"), "triples")
-    fails = written(two.groupBy("head").agg(_left("p", "lower").alias("fail"), F.max("n_head").alias("n")), "fails")
+    three = written(three.select("gram", "head", "tail", "word", "n", ((F.col("n") - DISCOUNT) / F.col("n_head")).alias("p"), "lower"), "triples")
+    fails = written(own.groupBy("head").agg(_left("p", "lower").alias("fail"), F.max("n_head").alias("n")), "fails")
     deep = written(three.groupBy("head").agg(_left("p", "lower").alias("fail")), "deep")
-    two = two.join(deep.select(F.col("head").alias("gram"), F.col("fail").alias("fail_two")), "gram", "left")
+    two = written(own.join(deep.select(F.col("head").alias("gram"), F.col("fail").alias("fail_two")), "gram", "left"), "states")
 
     near = fails.where(F.col("n") >= BROADCAST_SHARE * frequent.total).toArrow()
     rank = lambda column: frequent.ranks(column.to_numpy().view(np.uint64))
-    count = np.zeros(len(frequent.keys) + 1)
+    n_words = len(frequent.keys)
+    count = np.zeros(n_words + 1)
     count[frequent.rank] = frequent.counts
-    fail = np.zeros(len(count))
-    fail[rank(near["head"])] = near["fail"].to_numpy()
-    fail[0] = 0.0
-    a = Automaton(frequent.total, frequent.distinct, np.log10((count + 1) / norm), fail)
+    unigram = np.log10((count + 1) / norm)
     got = two.where(F.col("n") >= least).select("gram", "head", "tail", "p", "fail_two").toArrow()
-    code = rank(got["head"]) * _P + rank(got["tail"])
-    order = np.argsort(code)
-    a.pairs, a.pair_log = code[order], np.log10(got["p"].to_numpy()[order])
-    back = got["fail_two"].to_numpy()[order]
-    state = ~np.isnan(back)
-    a.contexts, a.fail_two = a.pairs[state], back[state]
-    gram = got["gram"].to_numpy()[order]
+    gram, first, last = got["gram"].to_numpy(), rank(got["head"]), rank(got["tail"])
+    back = got["fail_two"].to_numpy(zero_copy_only=False).astype(float)
+    fail_to = np.concatenate((np.zeros(n_words + 1, np.int64), last))
+    fail_weight = np.concatenate((np.zeros(n_words + 1), np.nan_to_num(back)))
+    fail_weight[rank(near["head"])] = near["fail"].to_numpy()
+    fail_weight[0] = 0.0
+    key, to, gain = [first * _P + last], [n_words + 1 + np.arange(len(gram))], [np.log10(got["p"].to_numpy()) - unigram[last]]
+    # A triple's two pairs occur as often as it does, so they are states here too.
+    got = three.where(F.col("n") >= least).select("head", "tail", "word", "p").toArrow()
     by = np.argsort(gram)
-    got = three.where(F.col("n") >= least).select("head", "word", "p").toArrow()
-    code = (by[np.searchsorted(gram[by], got["head"].to_numpy())] + 1) * _P + rank(got["word"]) if len(got) else a.triples
-    order = np.argsort(code)
-    a.triples, a.triple_log = code[order], np.log10(got["p"].to_numpy()[order])
+    state = lambda c: n_words + 1 + by[np.searchsorted(gram[by], got[c].to_numpy())] if len(got) else np.zeros(0, np.int64)
+    word = rank(got["word"])
+    key.append(state("head") * _P + word)
+    to.append(state("tail"))
+    gain.append(np.log10(got["p"].to_numpy()) - unigram[word])
+    key, to, gain = (np.concatenate(x) for x in (key, to, gain))
+    order = np.argsort(key)
+    a = Automaton(frequent.total, frequent.distinct, unigram, fail_to, fail_weight, key[order], to[order], gain[order])
 
     none = F.lit(None).cast("long").alias("n")
     over = F.log10("p") - F.log10("lower") - F.col("fail")
     rest = two.where(F.col("n") < least).join(fails.select("head", "fail"), "head").select(F.col("gram").alias("word"), none, (over + F.coalesce("fail_two", F.lit(0.0))).alias("weight"))
     rest = rest.unionByName(three.where(F.col("n") < least).join(deep, "head").select(F.col("gram").alias("word"), none, over.alias("weight")))
     rest = rest.unionByName(fails.where(F.col("n") < BROADCAST_SHARE * frequent.total).select(F.col("head").alias("word"), none, F.col("fail").alias("weight")))
-    return a, counts.select("word", "n", F.lit(0.0).alias("weight")).unionByName(written(rest, "arcs"))
+    arcs = written(rest, "arcs")
+    dropped(own, two, three, fails, deep)
+    return a, counts.select("word", "n", F.lit(0.0).alias("weight")).unionByName(arcs)
 
 
 @dataclass
@@ -357,10 +372,12 @@ def learn(texts: DataFrame) -> Model:
     pairs = count_grams(texts, 2, share(sieve(counts.where(F.col("n") >= LEAST_COUNT), "word")), "pairs")
     two = sieve(pairs, "gram")
     triples = count_grams(texts, 3, share(two), "triples")
-    return Model(counts, frequent, *build(counts, frequent, pairs, triples), (two, sieve(triples, "gram")))
+    model = Model(counts, frequent, *build(counts, frequent, pairs, triples), (two, sieve(triples, "gram")))
+    dropped(pairs, triples)
+    return model
 
 
-SCORED = "word long, row long, times long, doc_id long, n_tokens long, known long, log_sum double, gain double"
+SCORED = "word long, row long, times long, sums struct<doc_id: long, n_tokens: long, known: long, log_sum: double, gain: double>"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -381,16 +398,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 place = f.find(hashes)
                 known = place >= 0
                 rank = np.where(known, f.rank[place] if len(f.rank) else 0, 0)
-                gain = automaton.gains(rank, doc)
+                gain, depth = automaton.walk(rank, bounds)
                 logs = np.bincount(doc[known], log_count[place[known]], minlength=size).astype(np.float64)
                 numbers = row + np.arange(size)
                 row += size
                 # A text's row of sums meets no count: its word is a hash of its number, and `times` is null.
-                sums = [pa.array(mix64(numbers.astype(np.uint64)).view(np.int64)), pa.array(numbers), pa.nulls(size, pa.int64()), ids.slice(block.first, size), pa.array(np.diff(bounds)), pa.array(np.bincount(doc[known], minlength=size)), pa.array(logs), pa.array(np.bincount(doc, gain, minlength=size))]
-                yield pa.RecordBatch.from_arrays(sums, names=names)
+                own = [ids.slice(block.first, size), pa.array(np.diff(bounds)), pa.array(np.bincount(doc[known], minlength=size)), pa.array(logs), pa.array(np.bincount(doc, gain, minlength=size))]
+                sums = pa.StructArray.from_arrays(own, fields=list(kind))
+                yield pa.RecordBatch.from_arrays([pa.array(mix64(numbers.astype(np.uint64)).view(np.int64)), pa.array(numbers), pa.nulls(size, pa.int64()), sums], names=names)
                 grams, inside = [hashes[~known]], [doc[~known]]
                 if sieves:
-                    for gram, bits, missing, n in zip(_grams(hashes, doc), sieves, automaton.missing(rank, doc), (1, 2), strict=True):
+                    for gram, bits, n in zip(_grams(hashes, doc), sieves, (1, 2), strict=True):
+                        missing = depth < n
                         missing[:n] = False
                         missing[n:] &= doc[n:] == doc[:-n]
                         missing &= _passes(bits, gram)
@@ -402,17 +421,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     h, d = h[key], d[key]
                     first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
                     m = len(first)
-                    null = [pa.nulls(m, pa.int64())] * 3 + [pa.nulls(m, pa.float64())] * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(numbers[d[first]]), pa.array(np.diff(np.append(first, len(h)))), *null], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(numbers[d[first]]), pa.array(np.diff(np.append(first, len(h)))), pa.nulls(m, kind)], names=names)
 
-    names = [x.split()[0] for x in SCORED.split(", ")]
+    names = ["word", "row", "times", "sums"]
+    kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_sum", pa.float64()), ("gain", pa.float64())])
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
     arcs = model.counts.withColumn("weight", F.lit(0.0)) if model.arcs is None else model.arcs
-    joined = parts.join(arcs, "word", "left")
+    # The counts and arcs are the smaller side: hashed, so the texts' rows need no sort.
+    joined = parts.join(arcs.hint("shuffle_hash"), "word", "left")
     here = F.col("times").isNotNull() & F.col("n").isNotNull()
-    known = F.when(here, F.col("times")).when(F.col("times").isNull(), F.col("known"))
-    logs = F.when(here, F.col("times") * F.log10(F.col("n") + 1)).when(F.col("times").isNull(), F.col("log_sum"))
-    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(logs).alias("logs"), (F.max("gain") + F.coalesce(F.sum(F.col("times") * F.col("weight")), F.lit(0.0))).alias("gain"))
+    added = [F.sum(F.when(here, F.col("times"))), F.sum(F.when(here, F.col("times") * F.log10(F.col("n") + 1))), F.sum(F.col("times") * F.col("weight"))]
+    sums = joined.groupBy("row").agg(F.max("sums").alias("s"), *[F.coalesce(a, F.lit(0)).alias(n) for a, n in zip(added, ("more_known", "more_logs", "more_gain"), strict=True)])
+    sums = sums.select("s.doc_id", "s.n_tokens", (F.col("s.known") + F.col("more_known")).alias("n_known"), (F.col("s.log_sum") + F.col("more_logs")).alias("logs"), (F.col("s.gain") + F.col("more_gain")).alias("gain"))
     norm = float(np.log10(model.frequent.total + model.frequent.distinct + 1.0))
     base = F.col("logs") - F.col("n_tokens") * norm
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.frequent.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))

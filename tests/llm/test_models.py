@@ -150,17 +150,45 @@ def test_scores_by_definition(spark, docs, rows):
 def test_states_sum_to_one(docs):
     model = lm_scoring.learn(docs)
     a, f = model.automaton, model.frequent
-    assert len(a.pairs) and len(a.triples)
+    words_only = len(f.keys)
+    assert (a.arcs // lm_scoring._P <= words_only).any() and (a.arcs // lm_scoring._P > words_only).any()
     counts = model.counts.toArrow()
     n, rank = counts["n"].to_numpy(), f.ranks(counts["word"].to_numpy().view(np.uint64))
     norm = f.total + f.distinct + 1
-    for first, second in [(int(c // lm_scoring._P), int(c % lm_scoring._P)) for c in a.contexts[:10]] + [(0, int(h)) for h in np.unique(a.pairs // lm_scoring._P)[:10]] + [(0, 0)]:
+    pairs = [(int(k // lm_scoring._P), int(k % lm_scoring._P)) for k in a.arcs[:10]]
+    for first, second in pairs + [(0, int(x)) for x, _ in pairs] + [(0, 0)]:
         m = len(rank) + 1
         seq = np.stack([np.full(m, first), np.full(m, second), np.append(rank, 0)], 1).ravel()
-        gain = a.gains(seq, np.repeat(np.arange(m), 3))[2::3]
+        gain = a.walk(seq, 3 * np.arange(m + 1))[0][2::3]
         assert abs((10 ** gain[:-1] * (n + 1) / norm).sum() + 10 ** gain[-1] / norm - 1) < 1e-6
 
 
+def test_long_texts_are_walked_in_segments(docs, monkeypatch):
+    """One state carried through a whole text gives what its segments side by side give."""
+    a = lm_scoring.learn(docs).automaton
+    r = np.random.default_rng(1)
+    bounds = np.array([0, 0, 700, 701, 1700])
+    seen = np.unique(a.arcs % lm_scoring._P)
+    rank = np.where(r.random(1700) < 0.9, r.choice(seen, 1700), 0)
+    got = {}
+    for size in (1, 2, 3, 64, 10_000):
+        monkeypatch.setattr(lm_scoring, "SEGMENT", size)
+        got[size] = a.walk(rank, bounds)
+    assert all(np.allclose(got[k][0], got[10_000][0]) and (got[k][1] == got[10_000][1]).all() for k in got)
+    # Step by step, by the state table alone.
+    arcs = dict(zip(a.arcs.tolist(), zip(a.arc_to.tolist(), a.arc_gain.tolist(), strict=True), strict=True))
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        state = 0
+        for j in range(first, last):
+            weight, word = 0.0, int(rank[j])
+            while state and (not word or state * lm_scoring._P + word not in arcs):
+                weight += a.fail_weight[state]
+                state = int(a.fail_to[state])
+            to, own = arcs[state * lm_scoring._P + word] if state else (word, 0.0)
+            state = to
+            assert abs(got[64][0][j] - weight - own) < 1e-9
+
+
 def test_rare_words_are_joined(spark, docs, monkeypatch):
     whole = lm_scoring.learn(docs)
     few = lm_scoring.Model(whole.counts, lm_scoring.frequent_words(whole.counts, 0.01), whole.automaton)
