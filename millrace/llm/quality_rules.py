@@ -1,8 +1,9 @@
 """Quality rules: counted properties of a text and a calibrated n-gram logistic regression.
 
-The model sees hashed word 1- and 2-grams and hashed byte 3- and 5-grams, each group as shares of its own
-total, so a text's length does not move its score. It is trained on at most ``PER_CLASS`` labelled texts of
+The model sees hashed word 1- and 2-grams and hashed 3- and 5-grams of characters (code points), each group as shares
+of its own total, so a text's length does not move its score. It is trained on at most ``PER_CLASS`` labelled texts of
 each class, Platt-scaled on a third of them that the weights have not seen, and applied in Arrow batches.
+Of rows that share a labelled id the largest text trains; equal hashes of ids are ordered by id.
 """
 
 from __future__ import annotations
@@ -80,6 +81,17 @@ def counts(block: Block, w: Words) -> dict[str, np.ndarray]:
     }
 
 
+def characters(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a block's texts, each as its bytes in one number, and the text of each."""
+    first = np.flatnonzero((block.data & 0xC0) != 0x80)
+    size = np.diff(np.append(first, len(block.data)))
+    out = block.data[first].astype(np.uint64)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        out[more] |= block.data[first[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    return out, np.repeat(np.arange(len(block)), block.sizes)[first]
+
+
 def _features(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each group (row of each n-gram, its hashed index)."""
     shift = np.uint64(64 - BITS)
@@ -87,15 +99,11 @@ def _features(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
     out = [(w.doc, (w.hashes >> shift).astype(np.int64))]
     two = within(w.doc, 2)
     out.append((w.doc[:-1][two], (ngrams(w.hashes, 2) >> shift)[two].astype(np.int64)))
-    data = block.data.astype(np.uint64)
-    doc = np.repeat(np.arange(len(block)), block.sizes)
+    chars, doc = characters(block)
     for n in (3, 5):
         inside = within(doc, n)
-        grams = np.zeros(max(0, len(data) - n + 1), np.uint64)
-        for j in range(n):
-            grams = (grams << np.uint64(8)) | data[j : j + len(grams)]
-        index = (grams * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
-        out.append((doc[: len(grams)][inside], index[inside]))
+        grams = ngrams(chars, n)
+        out.append((doc[: len(grams)][inside], (grams >> shift)[inside].astype(np.int64)))
     return [(rows, index + (k << BITS)) for k, (rows, index) in enumerate(out)]
 
 
