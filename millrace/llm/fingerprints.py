@@ -4,7 +4,8 @@ Each byte starts a triplet with the bytes 3 and 7 places on (nothing, beyond the
 256 buckets; a bucket is coded 0 to 3 by the quartiles of the text's own 256 counts. The digest is two hex digits of
 the length's logarithm and 128 of the codes. The difference of two digests is the sum of the codes' differences and
 four times that of the length codes; their likeness falls from 1, at none, to 0 at ``BOUND``, about what unrelated
-texts have, and beyond. Null texts are empty; empty texts have the digest of zeros.
+texts have, and beyond. Null texts are empty; empty texts have the digest of zeros. Counts that tie with a quartile
+have the code below it. A text is digested whole, in memory of its own size times about thirty.
 """
 
 from __future__ import annotations
@@ -80,8 +81,9 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = No
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows in runs of descending ids, each run ended by a guest, the row that follows its last one.
 
-    The ids' quantiles cut them into at most ``parts`` ranges. The first row of a range is also dealt to the range
-    before it, that of the first range to the last one, so each row meets the next one without a global order.
+    The ids' quantiles cut them into about ``parts`` ranges. The first row of a range is also dealt to the range
+    before it, that of the first range to the last one, so each row meets the next one without a global order. The
+    ranges' first ids, one row a range, are a table that is joined, so a plan is as long with many ranges as with few.
     Null ids come last; equal ids are ordered by text.
     """
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -90,16 +92,14 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     bucket = Bucketizer(splits=[-float("inf"), *(inner or [0.0]), float("inf")], inputCol="_d", outputCol="_b")
     rows = docs.select("doc_id", "text", low.alias("_k"), low.cast("double").alias("_d"))
     rows = bucket.transform(rows).select("doc_id", "text", "_k", F.col("_b").cast("int").alias("_run"))
-    first = {r._run: r.k for r in rows.groupBy("_run").agg(F.max("_k").alias("k")).collect()}
-    order = sorted(first, reverse=True)
+    found = sorted(((r._run, r.k) for r in rows.groupBy("_run").agg(F.max("_k").alias("k")).collect()), reverse=True)
+    before = [(run, first, found[i - 1][0]) for i, (run, first) in enumerate(found)]
+    ranges = docs.sparkSession.createDataFrame(before, "_run int, _first long, _before int")
     own = F.struct(F.col("_run").alias("run"), F.lit(0).alias("guest"))
-    to = F.array(own)
-    if order:
-        known = F.create_map(*[F.lit(x) for run in order for x in (run, first[run])])
-        before = F.create_map(*[F.lit(x) for i, run in enumerate(order) for x in (run, order[i - 1])])
-        is_first = F.col("_k") == F.element_at(known, F.col("_run"))
-        to = F.when(is_first, F.array(own, F.struct(F.element_at(before, F.col("_run")).alias("run"), F.lit(1).alias("guest")))).otherwise(to)
-    dealt = rows.withColumn("_to", F.explode(to)).select("doc_id", "text", "_k", "_to.run", "_to.guest")
+    guest = F.struct(F.col("_before").alias("run"), F.lit(1).alias("guest"))
+    placed = rows.join(F.broadcast(ranges), "_run")  # one row a range
+    dealt = placed.withColumn("_to", F.explode(F.when(F.col("_k") == F.col("_first"), F.array(own, guest)).otherwise(F.array(own))))
+    dealt = dealt.select("doc_id", "text", "_k", "_to.run", "_to.guest")
     ordered = dealt.repartition(parts, "run").sortWithinPartitions("run", "guest", F.desc("_k"), F.desc_nulls_last("doc_id"), "text")
     return ordered.select("run", "guest", "doc_id", "text")
 
@@ -144,10 +144,11 @@ def _pairs(rows: pa.Table) -> pa.RecordBatch:
 def edited_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Each text's digest, that of the text edited with the next one, and likenesses to both; one shuffle of the texts.
 
-    A single row is its own next one. Equal rows are each compared with the row that follows them.
+    A single row is its own next one. Equal rows are each compared with the row that follows them. There are four
+    ranges for each shuffle partition of the session, at any size.
     """
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min(parts, 1000))
+    ordered = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts)
     return ordered.mapInArrow(_compare, T.StructType.fromDDL(OUT))
 
 
