@@ -377,6 +377,18 @@ def learn(texts: DataFrame) -> Model:
     return model
 
 
+def _counted_by_text(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of each text, how often each occurs in it, and its text."""
+    order = np.argsort(doc.astype(np.uint32), kind="stable")
+    hashes = hashes[order]
+    edges = np.cumsum(np.bincount(doc))
+    parts = [np.unique(part, return_counts=True) for part in np.split(hashes, edges[:-1])] if len(hashes) else []
+    if not parts:
+        return hashes, np.zeros(0, np.int64), doc
+    sizes = [len(k) for k, _ in parts]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]), np.repeat(np.arange(len(parts)), sizes)
+
+
 SCORED = "word long, row long, times long, sums struct<doc_id: long, n_tokens: long, known: long, log_sum: double, gain: double>"
 
 
@@ -415,13 +427,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         missing &= _passes(bits, gram)
                         grams.append(gram[missing])
                         inside.append(doc[missing])
-                h, d = np.concatenate(grams), np.concatenate(inside)
+                h, times, d = _counted_by_text(np.concatenate(grams), np.concatenate(inside))
                 if len(h):
-                    key = np.lexsort((h, d))
-                    h, d = h[key], d[key]
-                    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
-                    m = len(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(numbers[d[first]]), pa.array(np.diff(np.append(first, len(h)))), pa.nulls(m, kind)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(numbers[d]), pa.array(times), pa.nulls(len(h), kind)], names=names)
 
     names = ["word", "row", "times", "sums"]
     kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_sum", pa.float64()), ("gain", pa.float64())])
