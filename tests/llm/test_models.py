@@ -120,7 +120,7 @@ def test_kneser_ney(spark):
     texts = ["abracadabra abba", "cab bad dab", "abc abc abd", "zzz!"]
     alphabet = b"ab cdr"
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    m = quality_lm.assemble(alphabet, quality_lm.smoothed(quality_lm.count_ngrams(df, alphabet)).collect())
+    m = quality_lm.assemble(alphabet, quality_lm.smoothed(quality_lm.count_ngrams(df, alphabet)).toArrow())
     want = _kneser_ney(texts, alphabet, order)
     got = np.exp(m.logs.astype(float)).reshape((n,) * order)
     got[..., 1] *= 256 - len(alphabet)
@@ -319,3 +319,67 @@ def test_words_that_a_polynomial_hash_confuses():
     many = ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(5000)]
     (b,) = blocks(_column([" ".join(many)]), 1 << 20)
     assert len(set(words(b).hashes.tolist())) == len(set(many))
+
+
+def test_characters_are_code_points():
+    texts = ["aé中😀b", "", "ß", "中中中中中中"]
+    (b,) = blocks(_column(texts))
+    chars, doc = quality_rules.characters(b)
+    assert chars.tolist() == [int.from_bytes(c.encode(), "little") for t in texts for c in t]
+    assert doc.tolist() == [i for i, t in enumerate(texts) for _ in t]
+    groups = quality_rules._features(b)
+    assert [len(groups[k][0]) for k in (2, 3)] == [sum(max(0, len(t) - n + 1) for t in texts) for n in (3, 5)]
+
+
+def test_classifier_by_brute_force(spark):
+    """Thresholds and verdicts of every row from perplexities computed symbol by symbol."""
+    r = random.Random(12)
+    word = lambda: r.choice(["the", "other", "on", "ran", "then", "her", "hat"])
+    good = [" ".join(word() for _ in range(r.choice([4, 9, 20, 40]))) for _ in range(400)]
+    rows = [(i, t, "en" if i % 2 else "de") for i, t in enumerate(good)]
+    rows += [(1000 + i, "".join(chr(r.randrange(33, 1000)) for _ in range(60)), "en") for i in range(20)]
+    rows += [(2000, None, "en"), (2001, "", "de"), (2002, good[0], None), (3, good[3], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 400)) for i, *_ in rows if i < 1010], "doc_id long, quality int")
+    classifier = quality_lm.train(docs, labels)
+    held = {x.doc_id for x in quality_lm.trusted_texts(docs, labels).where("held_out").collect()}
+    own = {x.doc_id: x.text for x in quality_lm.trusted_texts(docs, labels).where("not held_out").collect()}
+    seen = Counter(b"".join(t.encode() for t in own.values()))
+    alphabet = bytes(b for b, _ in sorted(seen.items(), key=lambda e: (-e[1], e[0]))[: quality_lm.ALPHABET - 2])
+    assert alphabet == classifier.model.alphabet
+    p = _kneser_ney(list(own.values()), alphabet, quality_lm.ORDER)
+    known = {}
+
+    def perplexity(text):
+        s = [0, 0, 0, *quality_lm.symbols(np.frombuffer(text.encode(), np.uint8), alphabet).tolist()]
+        total = 0.0
+        for i in range(3, len(s)):
+            gram = tuple(s[i - 3 : i + 1])
+            if gram not in known:
+                known[gram] = math.log(max(1e-12, p(gram[:-1], gram[-1]) / (256 - len(alphabet) if gram[-1] == 1 else 1)))
+            total += known[gram]
+        return math.exp(-total / (len(s) - 3))
+
+    size = lambda t: int(math.log2(len(t.encode())))
+    by = {}
+    for i, t, lang in {(i, t, lang) for i, t, lang in rows if i in held}:
+        for key in ((lang, size(t)), (None, size(t)), (lang, None), (None, None)):
+            by.setdefault(key, []).append(math.log(perplexity(t)))
+
+    def threshold(lang, length):
+        for key in ((lang, length), (None, length), (lang, None), (None, None)):
+            values = sorted(by.get(key, []))
+            if len(values) >= quality_lm.LEAST_TEXTS or key == (None, None):
+                at = [values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.75, quality_lm.QUANTILE)]
+                return math.exp(at[2] if len(values) >= quality_lm.ENOUGH else min(at[2], at[1] + quality_lm.FENCE * (at[1] - at[0])))
+
+    kept = 0
+    for x in quality_lm.classify(docs, classifier).collect():
+        if not x.text:
+            assert x.kept is False and x.perplexity is None
+            continue
+        want, at = perplexity(x.text), threshold(x.lang, size(x.text))
+        assert math.isclose(x.perplexity, want, rel_tol=1e-3) and math.isclose(x.threshold, at, rel_tol=1e-3), x
+        assert x.kept == (x.perplexity <= x.threshold) and (abs(want / at - 1) < 2e-3 or x.kept == (want <= at))
+        kept += x.kept
+    assert 380 <= kept <= 403
