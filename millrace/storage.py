@@ -44,13 +44,28 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
+_noted: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary(*kept: str) -> Iterator[None]:
+    """Tables stored within it are removed at its end, but those of the names in ``kept``."""
+    _noted.append([])
+    try:
+        yield
+    finally:
+        dropped(*[df for df in _noted.pop() if df.stored_as not in kept])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder; ``dropped`` removes it."""
+    """The rows as a Parquet table in the shared folder; ``dropped`` removes it, and the end of ``temporary``."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
+    out.stored_at, out.stored_as = path, name
+    for tables in _noted[-1:]:
+        tables.append(out)
     return out
 
 
