@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ratio
@@ -39,7 +39,7 @@ def mean_by(ratings: DataFrame, key: str) -> DataFrame:
     return ratings.groupBy(key).agg(F.avg("rating").alias("mean"), F.count("rating").alias("n"))
 
 
-def numbered(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str, name: str = "seq") -> DataFrame:
     """``df`` with its rows numbered from 0 in the order of the columns, without a global sort in one task.
 
     Rows are dealt to ranges; a range's numbers start at the number of rows in the ranges before it. One row a

@@ -6,7 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.storage import checkpointed
@@ -194,71 +194,116 @@ def best_communities(edges: DataFrame, betweenness: DataFrame | None = None) ->
     return values.repartition(1).mapInPandas(sweep, "node long, component long, modularity double")
 
 
-def _path_betweenness(ways: dict[int, set[int]]) -> dict[tuple[int, int], float]:
-    flow: dict[tuple[int, int], float] = defaultdict(float)
-    for root in ways:
-        level, paths, order, at = {root: 0}, {root: 1.0}, [root], 0
-        while at < len(order):
-            v = order[at]
-            at += 1
-            for w in ways[v]:
-                if w not in level:
-                    level[w], paths[w] = level[v] + 1, 0.0
-                    order.append(w)
-                if level[w] == level[v] + 1:
-                    paths[w] += paths[v]
-        got = dict.fromkeys(order, 1.0)
-        for v in reversed(order):
-            for w in ways[v]:
-                if level[w] == level[v] - 1:
-                    part = got[v] * paths[w] / paths[v]
-                    got[w] += part
-                    flow[min(v, w), max(v, w)] += part / 2
-    return flow
-
-
-def _split_until(edges: list[tuple[int, int]], splits: int) -> dict[int, int]:
-    ways: dict[int, set[int]] = defaultdict(set)
-    for a, b in edges:
-        ways[a].add(b)
-        ways[b].add(a)
+#: A graph of at most so many edges is broadcast, its betweenness shared out by roots; a larger one is joined.
+BROADCAST_EDGES = 1_000_000
 
-    def named() -> dict[int, int]:
-        out: dict[int, int] = {}
-        for v in sorted(ways):
-            if v not in out:
-                todo = [v]
-                out[v] = v
-                while todo:
-                    for w in ways[todo.pop()]:
-                        if w not in out:
-                            out[w] = v
-                            todo.append(w)
-        return out
-
-    communities = named()
-    number, goal = len(set(communities.values())), len(set(communities.values())) + splits
-    while number < goal:
-        flow = _path_betweenness(ways)
-        if not flow:
-            break
-        a, b = min(flow, key=lambda e: (-round(flow[e], 9), e))
-        ways[a].discard(b)
-        ways[b].discard(a)
-        communities = named()
-        number = len(set(communities.values()))
-    return communities
+Ways = dict[int, set[int]]
 
 
-def girvan_newman(edges: DataFrame, splits: int = 3) -> DataFrame:
-    """(node, component) after the given number of splits, path-count betweenness being taken anew after each removal.
+def _flow_from(root: int, ways: Ways, flow: dict[tuple[int, int], float]) -> None:
+    """Adds the path-count credit of one root's shortest paths to each edge."""
+    level, paths, order, at = {root: 0}, {root: 1.0}, [root], 0
+    while at < len(order):
+        v = order[at]
+        at += 1
+        for w in sorted(ways[v]):
+            if w not in level:
+                level[w], paths[w] = level[v] + 1, 0.0
+                order.append(w)
+            if level[w] == level[v] + 1:
+                paths[w] += paths[v]
+    got = dict.fromkeys(order, 1.0)
+    for v in reversed(order):
+        for w in ways[v]:
+            if level[w] == level[v] - 1:
+                part = got[v] * paths[w] / paths[v]
+                got[w] += part
+                flow[min(v, w), max(v, w)] += part / 2
 
-    Every removal depends on the one before; the whole loop runs in one task over the edges alone.
-    """
+
+def _reached(start: int, ways: Ways) -> set[int]:
+    seen, todo = {start}, [start]
+    while todo:
+        for w in ways[todo.pop()]:
+            if w not in seen:
+                seen.add(w)
+                todo.append(w)
+    return seen
+
+
+def _betweenness_of(edges: set[tuple[int, int]], spark: SparkSession) -> dict[tuple[int, int], float]:
+    """Path-count betweenness of a broadcast graph; each task takes a share of the roots."""
+    shared = spark.sparkContext.broadcast(sorted(edges))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for f in frames for r in f.itertuples(index=False, name=None)]
-        found = _split_until(rows, splits) if rows else {}
-        yield pd.DataFrame({"node": list(found), "component": list(found.values())}, dtype="int64")
+        ways: Ways = defaultdict(set)
+        for a, b in shared.value:
+            ways[a].add(b)
+            ways[b].add(a)
+        flow: dict[tuple[int, int], float] = defaultdict(float)
+        for f in frames:
+            for root in f["root"].tolist():
+                _flow_from(root, ways, flow)
+        yield pd.DataFrame([(a, b, x) for (a, b), x in flow.items()], columns=["src", "dst", "b"])
+
+    roots = sorted({v for e in edges for v in e})
+    dealt = spark.createDataFrame([(v,) for v in roots], "root long").repartition(min(len(roots), spark.sparkContext.defaultParallelism), "root")
+    summed = dealt.mapInPandas(run, "src long, dst long, b double").groupBy("src", "dst").agg(F.sum("b").alias("b"))
+    out = {(r.src, r.dst): r.b for r in summed.collect()}
+    shared.unpersist()
+    return out
+
 
-    return edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).repartition(1).mapInPandas(run, "node long, component long")
+def girvan_newman(edges: DataFrame, splits: int = 3) -> DataFrame:
+    """(node, component) after the given number of splits, path-count betweenness being taken anew after each removal.
+
+    The removals follow one another; the betweenness before each is computed in parallel, by roots over a broadcast
+    graph of at most ``BROADCAST_EDGES`` edges, of which only the component that lost an edge is taken anew, or by
+    joins for a larger graph. Of edges that tie, the first by its ends goes.
+    """
+    spark = edges.sparkSession
+    rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src < dst").distinct()
+    rows = checkpointed(rows)
+    if rows.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
+        return _girvan_newman_by_joins(rows, splits)
+    left = {(r.src, r.dst) for r in rows.collect()}
+    ways: Ways = defaultdict(set)
+    for a, b in left:
+        ways[a].add(b)
+        ways[b].add(a)
+    flow = _betweenness_of(left, spark) if left else {}
+    while splits and flow:
+        a, b = min(flow, key=lambda e: (-round(flow[e], 9), e))
+        del flow[a, b]
+        ways[a].discard(b)
+        ways[b].discard(a)
+        one = _reached(a, ways)
+        parts = [one] if b in one else [one, _reached(b, ways)]
+        splits -= len(parts) - 1
+        if splits:
+            touched = {e for e in flow if any(e[0] in p for p in parts)}
+            flow.update(_betweenness_of(touched, spark) if touched else {})
+    found: dict[int, int] = {}
+    for v in sorted(ways):
+        if v not in found:
+            found.update(dict.fromkeys(_reached(v, ways), v))
+    return spark.createDataFrame(sorted(found.items()), "node long, component long")
+
+
+def _girvan_newman_by_joins(edges: DataFrame, splits: int) -> DataFrame:
+    nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
+
+    def named(left: DataFrame) -> DataFrame:
+        return checkpointed(nodes.join(components(left), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+    left, communities = edges, named(edges)
+    number = communities.select("component").distinct().count()
+    goal = number + splits
+    while number < goal:
+        top = edge_betweenness(left, "paths").orderBy(F.desc(F.round("betweenness", 9)), "src", "dst").first()
+        if top is None:
+            break
+        left = checkpointed(left.where((F.col("src") != top.src) | (F.col("dst") != top.dst)))
+        communities = named(left)
+        number = communities.select("component").distinct().count()
+    return communities

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import clamp
 from millrace.operators import aggregates, evaluate, graph, itemsets, lsh, recommend
 from millrace.plans import roles
+from millrace.sources import writers
 from millrace.storage import checkpointed
 from millrace.streaming import bits as bit_streams
 from millrace.streaming import texts as text_streams
@@ -134,10 +135,65 @@ def frequent_3(spark, sf_dir):
 @query
 def frequent_itemsets_fpgrowth(spark, sf_dir):
     pairs = checkpointed(itemsets.baskets(roles.brand_ratings(spark, sf_dir), 1))
-    found = itemsets.frequent_itemsets_fpgrowth(pairs, _support(pairs)).where(F.size("items") <= 3)
+    found = itemsets.frequent_itemsets_fpgrowth(pairs, _support(pairs))
     return found.select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "n")
 
 
+@query
+def frequent_itemsets(spark, sf_dir):
+    """The level-wise join's itemsets of all sizes; the same rows as FP-growth's."""
+    pairs = checkpointed(itemsets.baskets(roles.brand_ratings(spark, sf_dir), 1))
+    found = itemsets.frequent_itemsets(pairs, _support(pairs))
+    return found.select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "n")
+
+
+# --- rows in order, each with its place
+
+
+def _placed(df: DataFrame, *order) -> DataFrame:
+    return aggregates.numbered(df, *order, name="place")
+
+
+@query
+def movie_avg_sorted(spark, sf_dir):
+    return _placed(aggregates.movie_avg(roles.ratings(spark, sf_dir)), "movieId")
+
+
+@query
+def tag_avg_sorted(spark, sf_dir):
+    return _placed(aggregates.tag_avg(roles.ratings(spark, sf_dir), roles.tags(spark, sf_dir)), F.desc("tag"))
+
+
+@query
+def predictions_sorted(spark, sf_dir):
+    return _placed(_rounded(_user_cf(spark, sf_dir)[1], "rating"), "userId", "movieId")
+
+
+@query
+def betweenness_sorted(spark, sf_dir):
+    """Edges by falling betweenness, ties by their ends."""
+    return _placed(_rounded(graph.edge_betweenness(_edges(spark, sf_dir), "equal"), "betweenness"), F.desc("betweenness"), "src", "dst")
+
+
+@query
+def edges_sorted(spark, sf_dir):
+    return _placed(_rounded(graph.edge_betweenness(_edges(spark, sf_dir), "equal"), "betweenness"), "src", "dst")
+
+
+@query
+def itemset_lines(spark, sf_dir):
+    """A line for each size of itemsets, ascending inside and across."""
+    pairs = checkpointed(itemsets.baskets(roles.brand_ratings(spark, sf_dir), 1))
+    return writers.itemset_lines(itemsets.frequent_itemsets(pairs, _support(pairs)))
+
+
+@query
+def community_lines(spark, sf_dir):
+    """A line for each component, by its first member."""
+    lines = writers.community_lines(graph.components(_edges(spark, sf_dir)), "node", "component")
+    return _placed(lines, "first")
+
+
 # --- sets and similarity
 
 
@@ -308,7 +364,7 @@ def modularity_of_components(spark, sf_dir):
 
 @query
 def best_modularity_communities(spark, sf_dir):
-    return graph.best_communities(_edges(spark, sf_dir))
+    return _rounded(graph.best_communities(_edges(spark, sf_dir)), "modularity")
 
 
 @query
@@ -341,8 +397,8 @@ def mean_text_length(spark, sf_dir):
 
 @query
 def reservoir_sample(spark, sf_dir):
-    rows = roles.tagged_texts(spark, sf_dir).withColumnRenamed("id", "seq")
-    return text_streams.reservoir_batch(rows, 100)
+    """A hundred rows drawn by a seeded hash, in parallel; the one-pass reservoir is for streams."""
+    return text_streams.sample(roles.tagged_texts(spark, sf_dir), 100).select("id", "text")
 
 
 def queries() -> dict[str, Query]:

@@ -87,6 +87,41 @@ comp as (select node, min(other) as component from reach group by 1)"""
 _BITS = "b as (select row_number() over (order by ts, event_id) - 1 as seq, cast(event_type = 'purchase' as integer) as bit from events)"
 
 
+#: Sizes of itemsets that the SQL unrolls; the tests check that no larger one is frequent in the given tables.
+MOST_ITEMS = 8
+
+
+def _itemsets() -> str:
+    """Tables f1 to f8 of the frequent itemsets, level by level, and their union as (items, size, n)."""
+    made = ["f1 as (select movieId as i1, count(*) as n from s group by 1 having count(*) >= (select least from support))"]
+    for k in range(2, MOST_ITEMS + 1):
+        items = [f"i{j}" for j in range(1, k + 1)]
+        same = " and ".join(["true", *[f"p.{i} = q.{i}" for i in items[:-2]]])
+        made.append(f"c{k} as (select {', '.join(f'p.{i}' for i in items[:-1])}, q.{items[-2]} as {items[-1]} from f{k - 1} p join f{k - 1} q on {same} and p.{items[-2]} < q.{items[-2]})")
+        held = " ".join(f"join s s{j} on s{j}.movieId = c.i{j}" + (" and s1.userId = s%d.userId" % j if j > 1 else "") for j in range(1, k + 1))
+        made.append(f"f{k} as (select {', '.join(f'c.{i}' for i in items)}, count(*) as n from c{k} c {held} group by all having count(*) >= (select least from support))")
+    union = " union all ".join(f"select concat_ws(',', {', '.join(f'i{j}' for j in range(1, k + 1))}) as items, [{', '.join(f'i{j}' for j in range(1, k + 1))}] as list, {k} as size, n from f{k}" for k in range(1, MOST_ITEMS + 1))
+    return f"{', '.join(made)}, every as ({union})"
+
+
+_ITEMSETS = f"{_BRANDS}, {_PAIRS}, {_itemsets()}"
+_EQUAL_SHARES = """k as (select root, child, count(*) as k from par group by 1, 2),
+    """
+_BETWEEN = f"""{_LEVELS}, {_EQUAL_SHARES}bt as (with recursive {_flow("select par.root, par.child, par.parent, 1.0 / k as part from par join k using (root, child)")})"""
+#: Removing edges by falling betweenness: (gone, node, c), the component of each node when ``gone`` edges are removed.
+_SWEEP = f"""{_BETWEEN}, ord as (select src, dst, row_number() over (order by betweenness desc, src, dst) as r from bt),
+steps as (select 0 as gone union all select r from ord),
+open as (select src, dst, r from ord union all select dst, src, r from ord),
+grown as (select distinct gone, src as node, src as other from steps, ways
+  union select grown.gone, node, dst from grown join open on open.src = other and open.r > grown.gone),
+parts as (select gone, node, min(other) as c from grown group by 1, 2),
+total as (select count(*) as m from edges),
+deg as (select gone, c, count(*) as d from parts join ways on ways.src = node group by 1, 2),
+inside as (select p.gone, p.c, count(*) as l from edges join parts p on p.node = edges.src join parts q on q.gone = p.gone and q.node = edges.dst and q.c = p.c group by 1, 2),
+mod as (select gone, sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m))) as q from deg left join inside using (gone, c), total group by 1),
+best as (select min(gone) as gone, any_value(top) as q from mod, (select max(q) as top from mod) where q >= top - 1e-9)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "movie_avg": f"with {_RATINGS} select movieId, sum(rating) / count(*) as rating_avg from s group by 1",
@@ -109,11 +144,19 @@ def oracle_sql() -> dict[str, str]:
         "frequent_3": f"""with {_BRANDS}, {_PAIRS} select a.movieId as i1, b.movieId as i2, c.movieId as i3, count(*) as n from s a
             join s b on a.userId = b.userId and a.movieId < b.movieId join s c on c.userId = b.userId and b.movieId < c.movieId
             group by 1, 2, 3 having count(*) >= (select least from support)""",
-        "frequent_itemsets_fpgrowth": f"""with {_BRANDS}, {_PAIRS}, every as (select movieId::varchar as items, count(*) as n from s group by 1
-            union all select a.movieId || ',' || b.movieId, count(*) from s a join s b on a.userId = b.userId and a.movieId < b.movieId group by a.movieId, b.movieId
-            union all select a.movieId || ',' || b.movieId || ',' || c.movieId, count(*) from s a join s b on a.userId = b.userId and a.movieId < b.movieId
-            join s c on c.userId = b.userId and b.movieId < c.movieId group by a.movieId, b.movieId, c.movieId)
-            select items, n from every where n >= (select least from support)""",
+        "frequent_itemsets_fpgrowth": f"with {_ITEMSETS} select items, n from every",
+        "frequent_itemsets": f"with {_ITEMSETS} select items, n from every",
+        "itemset_lines": f"""with {_ITEMSETS} select size, string_agg('(' || replace(items, ',', ', ') || ')', ', ' order by list) as value from every group by size""",
+        "movie_avg_sorted": f"with {_RATINGS}, a as (select movieId, sum(rating) / count(*) as rating_avg from s group by 1) select *, row_number() over (order by movieId) - 1 as place from a",
+        "tag_avg_sorted": f"""with {_RATINGS}, {_TAGS}, t as (select movieId, sum(rating) as total, count(*) as n from s group by 1),
+            a as (select tag, sum(total) / sum(n) as rating_avg from tags join t using (movieId) group by 1) select *, row_number() over (order by tag desc) - 1 as place from a""",
+        "predictions_sorted": f"with {_USER_CF} select userId, movieId, round(rating, 6) as rating, row_number() over (order by userId, movieId) - 1 as place from pred",
+        "betweenness_sorted": f"with recursive {_BETWEEN} select src, dst, betweenness, row_number() over (order by betweenness desc, src, dst) - 1 as place from bt",
+        "edges_sorted": f"with recursive {_BETWEEN} select src, dst, betweenness, row_number() over (order by src, dst) - 1 as place from bt",
+        "community_lines": f"""with recursive {_EDGES}, {_COMPONENTS} select component as first, '[' || string_agg(node::varchar, ', ' order by node) || ']' as value,
+            row_number() over (order by component) - 1 as place from comp group by component""",
+        "best_modularity_communities": f"with recursive {_SWEEP} select node, c as component, round(q, 6) as modularity from parts join best using (gone)",
+        "reservoir_sample": """select event_id as id, 'user ' || user_id || ' #' || event_type as text from events order by md5('42:' || event_id), event_id limit 100""",
         "minhash_signatures": f"with {_SIGNATURES} select * from sig",
         "lsh_bands": f"with {_KEYS} select * from keys",
         "lsh_candidates": f"with {_CANDIDATES} select * from cand",

@@ -33,8 +33,12 @@ def mean_length(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sample(texts: DataFrame, size: int = 100, seed: int = 42, key: str = "id") -> DataFrame:
-    """A uniform sample of at most ``size`` rows: those first by a seeded hash of their key."""
-    return texts.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
+    """A uniform sample of at most ``size`` rows: those first by a seeded hash of their key.
+
+    Each task keeps its own first rows, so the sample is drawn in parallel; ties are ordered by key.
+    """
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return texts.orderBy(drawn, key).limit(size)
 
 
 @dataclass
@@ -50,25 +54,33 @@ class Reservoir:
     parity: bool = False
     n: int = 0
     texts: list[str] = field(default_factory=list)
+    tags: Counter = field(default_factory=Counter)
+
+    def count(self, text: str, by: int) -> None:
+        """One more or one less for each of the text's tags; a tag that no text has any more stays, at zero."""
+        for w in text.split():
+            if len(w) > 1 and w[0] == "#":
+                self.tags[w[1:]] += by
 
     def add(self, text: str) -> bool:
         """Whether the text replaced one."""
         self.n += 1
         if len(self.texts) < self.size:
             self.texts.append(text)
+            self.count(text, 1)
             return False
         draw = random.Random(self.seed * 1_000_003 + self.n)
         at = draw.randint(1, self.n) if self.parity else draw.randrange(self.n)
         if at >= self.size:
             return False
-        self.texts.pop(at)
+        self.count(self.texts.pop(at), -1)
         self.texts.append(text)
+        self.count(text, 1)
         return True
 
     def report(self, k: int = 5) -> tuple[str, float]:
         """The k most frequent tags of the sample, as tag:n, and the mean length of its texts."""
-        tags = Counter(w[1:] for t in self.texts for w in t.split() if len(w) > 1 and w[0] == "#")
-        top = sorted(tags.items(), key=lambda e: (-e[1], e[0]))[:k]
+        top = sorted(((t, n) for t, n in self.tags.items() if n), key=lambda e: (-e[1], e[0]))[:k]
         return ",".join(f"{t}:{n}" for t, n in top), sum(map(len, self.texts)) / max(1, len(self.texts))
 
 
@@ -83,9 +95,10 @@ class _ReservoirProcessor(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values("seq")
         reservoir = self.new()
         if self.state.exists():
-            reservoir.n, reservoir.texts = json.loads(self.state.get()[0])
+            reservoir.n, reservoir.texts, tags = json.loads(self.state.get()[0])
+            reservoir.tags.update(tags)
         changed = [reservoir.add(t) for t in frame["text"].tolist()]
-        self.state.update((json.dumps([reservoir.n, reservoir.texts]),))
+        self.state.update((json.dumps([reservoir.n, reservoir.texts, reservoir.tags]),))
         if any(changed):
             tags, length = reservoir.report()
             yield pd.DataFrame({"k": [key[0]], "n": [reservoir.n], "size": [len(reservoir.texts)], "top": [tags], "mean_length": [length]})
