@@ -47,10 +47,10 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "seq") -> DataFram
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = checkpointed(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("size"), F.min("_at").alias("first"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", "first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    at = (F.col("_at") - F.col("first") + F.col("start")).alias(name)
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    at = (F.col("_at") - F.col("_first") + F.col("_start")).alias(name)
     return placed.join(F.broadcast(starts), "_part").select(*[F.col(f"`{c}`") for c in df.columns], at)
 
 
