@@ -4,9 +4,10 @@ Tier one: a minimal perfect hash over the vocabulary resolves a pre-token that i
 the rest, a heap over a linked list of the pre-token's bytes merges the adjacent pair of least rank, leftmost
 first, until none is left. Both tiers sit behind a bounded memo of pieces already encoded in this worker.
 
-Texts are cut by the vocabulary's pattern. Cutting first at white space and caching the pieces between is exact:
-the pattern never matches across those cuts. Null texts are empty and have no tokens; every UTF-8 text decodes
-to itself.
+Texts are cut by the vocabulary's pattern. With the public tokenizers' pattern, cutting first at white space and caching
+the pieces between is exact: it never matches across those cuts. With any other pattern, texts are cut by it alone.
+Null texts are empty and have no tokens; every UTF-8 text decodes to itself; repeated rows are encoded alike, each on
+its own. Of adjacent pairs of equal rank the leftmost is merged first.
 """
 
 from __future__ import annotations
@@ -153,6 +154,15 @@ _COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+def _public_pattern() -> str | None:
+    """The pattern for which the coarse cut is known to be exact."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return None
+    return public_tokenizers.PATTERN
+
+
 class Encoder(dict):
     """A memo from pieces of text to their ids, as decimal numbers joined by commas."""
 
@@ -162,6 +172,7 @@ class Encoder(dict):
         self.find = regex.compile(vocabulary.pattern).findall
         self.tokens = {str(i): key for key, i in vocabulary.ranks.items()}
         self.inner: dict[str, str] = {}
+        self.coarse = vocabulary.pattern == _public_pattern()
 
     def __missing__(self, piece: str) -> str:
         if len(self) + len(self.inner) >= MEMO_ENTRIES:
@@ -184,7 +195,7 @@ class Encoder(dict):
 
     def encode(self, text: str) -> str:
         """The ids of a whole text as decimal numbers joined by commas."""
-        pieces = self.find(text) if any(c in text for c in _ODD) else _COARSE.findall(text)
+        pieces = _COARSE.findall(text) if self.coarse and not any(c in text for c in _ODD) else self.find(text)
         return ",".join(map(self.__getitem__, pieces))
 
     def decode(self, ids: str) -> bytes:

@@ -1,10 +1,11 @@
 """Toxicity by multiple-instance learning.
 
 A text is a bag of sentences (cut at . ! ? and line ends). A sentence's probability is logistic in its words and
-their proper prefixes of 4 to 9 bytes, as insults are inflected; a text's is the noisy-or of its sentences', one minus the product of one minus each. Only texts carry
-labels: the gradient of the bag's likelihood finds the sentences that explain them. The model is trained on at most
+their proper prefixes of 4 to 9 bytes, as insults are inflected; a text's is the noisy-or of its sentences', one minus
+the product of one minus each. Only texts carry labels: the gradient of the bag's likelihood finds the sentences that explain them. The model is trained on at most
 ``PER_CLASS`` labelled texts of each class and knows features of at least ``LEAST_TEXTS`` of them; scoring looks up
-64-bit hashes, batch by batch. Null and empty texts have no sentences and score 0.
+64-bit hashes, batch by batch. Null and empty texts have no sentences and score 0. Repeated rows are scored alike, each
+on its own; of rows that share a labelled id the largest text trains, and equal hashes of ids are ordered by id.
 """
 
 from __future__ import annotations

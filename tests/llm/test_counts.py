@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pytest
 
 from millrace.llm import automata, bpe, fingerprints, license_scan, packing, quality_rules, secret_scan
 from millrace.llm.bytetext import blocks
+from millrace.llm.sql import oracle_sql
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -335,6 +337,25 @@ def test_license_scan_by_brute_force(spark):
             labels, best = _reference_scan(words)
             labels |= {label for p, label in base.items() if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))}
             assert (x.labels, round(x.score, 9)) == (",".join(sorted(labels)), round(best, 9)), rows[x.doc_id]
+    # The SQL's rows, on the same texts.
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", [list(x) for x in enumerate(rows)])
+    found = db.sql(oracle_sql()["op5_license_scan"])
+    got = license_scan.license_scan(df, {}, keep=["doc_id"])
+    assert found.columns == got.columns
+    key = lambda xs: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in xs), key=repr)
+    assert [repr(x) for x in key(found.fetchall())] == [repr(x) for x in key(map(tuple, got.collect()))]
+
+
+def test_other_patterns_are_cut_by_themselves(vocabulary):
+    import tiktoken
+
+    pattern = r"[a-z ]+|[^a-z ]+"  # matches across white space, where the public pattern never does
+    own = bpe.Vocabulary(vocabulary.ranks, pattern)
+    reference = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    for t in ("the cat  sat on the mat", "a B c\nD é", "", "   ", "one two THREE four"):
+        assert [int(i) for i in bpe.Encoder(own).encode(t).split(",") if i] == reference.encode_ordinary(t)
 
 
 def _block(text):
