@@ -54,17 +54,19 @@ def bfs_levels(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         seen = checkpointed(seen.unionByName(frontier))
 
 
-def edge_betweenness(edges: DataFrame, weighting: str = "equal") -> DataFrame:
-    """(src, dst, betweenness) of all edges.
+def edge_betweenness(edges: DataFrame, weighting: str = "equal", roots: DataFrame | None = None) -> DataFrame:
+    """(src, dst, betweenness) of all edges that lie on a shortest path from a root; all nodes are roots by default.
 
     From each root, a node passes one unit and all it has received to its parents, the neighbours one level up: in
     equal parts, or with weighting "paths" in proportion to their numbers of shortest paths. Half the sum over all
-    roots is an edge's betweenness.
+    roots is an edge's betweenness. All roots take a row for each pair of connected nodes; of a large graph, pass a
+    sample of them, over which the sum is scaled up to all nodes.
     """
     if weighting not in ("equal", "paths"):
         raise ValueError("weighting is equal or paths")
-    levels = bfs_levels(edges)
+    levels = bfs_levels(edges, roots)
     ways = both_ways(edges)
+    scale = 1.0 if roots is None else ways.select("src").distinct().count() / max(1, levels.select("root").distinct().count())
     child = levels.toDF("root", "child", "level", "child_paths")
     parent = levels.select("root", F.col("node").alias("parent"), (F.col("level") + 1).alias("level"), F.col("paths").alias("parent_paths"))
     up = child.join(ways.toDF("child", "parent"), "child").join(parent, ["root", "parent", "level"])
@@ -87,7 +89,7 @@ def edge_betweenness(edges: DataFrame, weighting: str = "equal") -> DataFrame:
         flows = flow if flows is None else flows.unionByName(flow)
     if flows is None:
         return edges.select("src", "dst", F.lit(0.0).alias("betweenness")).limit(0)
-    summed = flows.groupBy(F.least("child", "parent").alias("src"), F.greatest("child", "parent").alias("dst")).agg((F.sum("flow") / 2).alias("betweenness"))
+    summed = flows.groupBy(F.least("child", "parent").alias("src"), F.greatest("child", "parent").alias("dst")).agg((F.sum("flow") / 2 * scale).alias("betweenness"))
     return summed.select("src", "dst", "betweenness")
 
 
