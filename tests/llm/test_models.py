@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from millrace.llm import lm_scoring, quality_lm, quality_rules, toxicity
+from millrace.llm import fingerprints, jaccard_join, lm_scoring, quality_lm, quality_rules, secret_scan, toxicity
 from millrace.llm.bytetext import blocks, hash_spans, spans, words
 from millrace.llm.common import fold
 
@@ -383,3 +383,25 @@ def test_classifier_by_brute_force(spark):
         assert x.kept == (x.perplexity <= x.threshold) and (abs(want / at - 1) < 2e-3 or x.kept == (want <= at))
         kept += x.kept
     assert 380 <= kept <= 403
+
+
+def test_a_text_of_many_megabytes():
+    """One text of 6 MB, a word of 1 MB in it, is worked off whole by every operator in numpy."""
+    r = random.Random(2)
+    part = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(1000)) + ".\n"
+    text = part * 900 + "x" * 1_000_000 + " key_0123456789abcdef0123 end"
+    (b,) = blocks(_column([text]))
+    n = len(WORD.findall(text))
+    w = words(b)
+    assert len(w.hashes) == n and quality_rules.counts(b, w)["n_words"][0] == n
+    assert quality_rules.repeated_words(w)[0] >= n - 10
+    assert len(quality_rules._features(b)[2][0]) == len(text) - 2
+    assert len(toxicity.sentences(b).doc) == 901
+    assert len(jaccard_join.shingle_sets(b)[0]) < 2100
+    assert len(lm_scoring.tokens(b)[0]) == n + 1
+    assert fingerprints.codes(b)[0].shape == (1, 256)
+    assert len(quality_lm.codes(b, b"abcdefgh .", 4)) == len(text)
+    assert secret_scan.base_spans(b)[0][0][1] == 2
+    bounds = np.array([0, n + 1])
+    a = lm_scoring.Automaton(1, 1, np.zeros(2), np.zeros(2, np.int64), np.zeros(2))
+    assert a.walk(np.ones(n + 1, np.int64), bounds)[0].shape == (n + 1,)
