@@ -1,11 +1,11 @@
-", ", "What queries store on their way does not outgrow their input.", ""
+", ", "What queries store on their way does not outgrow their input.", ", "
 
 import pytest
 
 from millrace.operators import graph
 from millrace.plans import queries as plans
 
-GRAPHS = ["edge_betweenness_sigma", "bfs_levels", "betweenness_sorted"]
+GRAPHS = ["edge_betweenness_sigma", "bfs_levels", "betweenness_sorted", "edges_sorted"]
 
 
 @pytest.mark.parametrize("name", GRAPHS)
