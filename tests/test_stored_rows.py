@@ -5,7 +5,7 @@ import pytest
 from millrace.operators import graph
 from millrace.plans import queries as plans
 
-GRAPHS = ["edge_betweenness_sigma", "bfs_levels", "betweenness_sorted", "edges_sorted"]
+GRAPHS = ["edge_betweenness_sigma", "bfs_levels", "betweenness_sorted", "edges_sorted", "best_modularity_communities"]
 
 
 @pytest.mark.parametrize("name", GRAPHS)
