@@ -5,7 +5,7 @@ import pytest
 from millrace.operators import graph, lsh
 from millrace.plans import queries as plans
 
-SIMILAR = ["jaccard_similar_lsh", "similar_in_both"]
+SIMILAR = ["jaccard_similar_lsh", "similar_in_both", "lsh_precision_recall"]
 GRAPHS = ["edge_betweenness_sigma", "bfs_levels", "betweenness_sorted", "edges_sorted", "best_modularity_communities"]
 
 
@@ -26,7 +26,7 @@ def test_graph_queries_store_no_row_of_a_root_and_a_node(spark, sf_dir, monkeypa
 
 @pytest.mark.parametrize("name", SIMILAR)
 def test_similarity_queries_store_few_pairs(spark, sf_dir, monkeypatch, name):
-    ", ", "Candidates that aren't similar don't leave the task where they meet."""
+    ", ", "Candidates that aren't similar don't leave the task where they meet.", ""
     met = []
     monkeypatch.setattr(lsh, "stored", lambda df, name, keep=lsh.stored: met.append((name, (out := keep(df, name)).count())) or out)
     plans.queries()[name](spark, sf_dir).count()
