@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import fingerprints, jaccard_join, lm_scoring, quality_lm, quality_rules, secret_scan, toxicity
 from millrace.llm.bytetext import blocks, hash_spans, spans, words
-from millrace.llm.common import fold
+from millrace.llm.common import append_columns, fold
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -405,3 +405,17 @@ def test_a_text_of_many_megabytes():
     bounds = np.array([0, n + 1])
     a = lm_scoring.Automaton(1, 1, np.zeros(2), np.zeros(2, np.int64), np.zeros(2))
     assert a.walk(np.ones(n + 1, np.int64), bounds)[0].shape == (n + 1,)
+
+
+def test_batches_of_texts_are_small(spark):
+    """A task holds no more than so many texts at once, and a worker gives back what a batch took."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    df = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 10) as text")
+    sizes = append_columns(df, "n long", lambda: lambda column: [pa.array([len(column)] * len(column))], keep=["doc_id"]).collect()
+    assert len(sizes) == 5000 and max(x.n for x in sizes) <= 2000
+    before = resident()
+    held = [np.ones(12_000) for _ in range(2000)]  # below the size from which numbers are mapped apart
+    last = np.ones(12_000)
+    del held
+    list(blocks(_column(["a"])))
+    assert resident() - before < 100e6 and last[0] == 1
