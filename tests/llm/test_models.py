@@ -385,6 +385,44 @@ def test_classifier_by_brute_force(spark):
     assert 380 <= kept <= 403
 
 
+def test_bytes_beyond_the_table_are_exact(spark, monkeypatch):
+    """Every byte of the trusted texts has a symbol of its own, whether the rest is broadcast or joined."""
+    r = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 абвгдежзийклмнопрстуфхцчшщ"
+    good = ["".join(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(150)] + ["привет мир"] * 30
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(900, "мир 中 привет", "en"), (901, "", "en"), (902, None, "en"), (903, "~~", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 900").selectExpr("doc_id", "1 as quality")
+    own = [x.text for x in quality_lm.trusted_texts(docs, labels).where("not held_out").collect()]
+    seen = Counter(b"".join(t.encode() for t in own))
+    alphabet = bytes(b for b, _ in sorted(seen.items(), key=lambda e: (-e[1], e[0])))
+    assert len(alphabet) > quality_lm.ALPHABET
+    with monkeypatch.context() as m:
+        m.setattr(quality_lm, "ALPHABET", len(alphabet) + 2)
+        p = _kneser_ney(own, alphabet, quality_lm.ORDER)
+    known = {}
+
+    def perplexity(text):
+        s = [0, 0, 0, *quality_lm.symbols(np.frombuffer(text.encode(), np.uint8), alphabet).tolist()]
+        for i in range(3, len(s)):
+            gram = tuple(s[i - 3 : i + 1])
+            if gram not in known:
+                known[gram] = math.log(max(1e-12, p(gram[:-1], gram[-1]) / (256 - len(alphabet) if gram[-1] == 1 else 1)))
+        return math.exp(-sum(known[tuple(s[i - 3 : i + 1])] for i in range(3, len(s))) / (len(s) - 3))
+
+    want = {i: perplexity(t) if t else None for i, t, _ in rows if i % 5 == 0 or i >= 900}
+    for most in (quality_lm.REST_ROWS, 0):
+        monkeypatch.setattr(quality_lm, "REST_ROWS", most)
+        classifier = quality_lm.train(docs, labels)
+        assert classifier.model.alphabet == alphabet and (classifier.model.table is None) == (most > 0)
+        got = {x.doc_id: x.perplexity for x in quality_lm.perplexities(docs, classifier.model, ["doc_id"]).collect()}
+        assert len(got) == len(rows)
+        for i, value in want.items():
+            assert got[i] is value is None or math.isclose(got[i], value, rel_tol=1e-4), (most, i, got[i], value)
+        kept = quality_lm.classify(docs, classifier).where("kept").count()
+        assert most and (first := kept) or kept == first
+
+
 def test_a_text_of_many_megabytes():
     """One text of 6 MB, a word of 1 MB in it, is worked off whole by every operator in numpy."""
     r = random.Random(2)
