@@ -25,7 +25,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytetext import Block, blocks, text_column
@@ -106,10 +107,9 @@ def count_ngrams(texts: DataFrame, alphabet: bytes) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def smoothed(counts: DataFrame, size: int = ALPHABET) -> DataFrame:
-    """(order, gram, alpha, gamma) of all orders from the counts of the highest; ``size`` is the alphabet's radix.
+def lower_orders(counts: DataFrame, size: int = ALPHABET) -> DataFrame:
+    """(order, gram, n) of all orders from the counts of the highest; ``size`` is the alphabet's radix.
 
-    ``alpha`` is an n-gram's discounted share of its context, ``gamma`` the context's weight of the lower order.
     Below the highest order, counts are of distinct symbols that precede.
     """
     levels = [counts.select(F.lit(ORDER).alias("order"), "gram", F.col("n").cast("double").alias("n"))]
@@ -120,6 +120,15 @@ def smoothed(counts: DataFrame, size: int = ALPHABET) -> DataFrame:
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
+    return every
+
+
+def smoothed(every: DataFrame, size: int = ALPHABET) -> DataFrame:
+    """(order, gram, alpha, gamma) of the n-grams of ``lower_orders``, or of counts of the highest order alone.
+
+    ``alpha`` is an n-gram's discounted share of its context, ``gamma`` the context's weight of the lower order.
+    """
+    every = every if "order" in every.columns else lower_orders(every, size)
     context = F.floor(F.col("gram") / size).cast("long")
     every = every.withColumn("context", context)
     # How often counts of 1, 2, 3 and 4 occur gives each order its three discounts.
@@ -169,6 +178,13 @@ class Model:
     logs: np.ndarray  # natural logarithm of each full n-gram's last symbol's probability, by the first symbols
     rest: Rest | None = None
     table: DataFrame | None = None  # (order, gram, alpha, gamma), where the rest is too many to be broadcast
+    sent: Broadcast | None = None
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """The model but its table, broadcast once, however many results are computed from it."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(replace(self, table=None))
+        return self.sent
 
     def parts(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each byte's logarithm from the table, 0 where it has none, and those places and their n-grams."""
@@ -215,14 +231,13 @@ def assemble(alphabet: bytes, rows: pa.Table, whole: bool = True) -> Model:
     size = radix(alphabet)
     p = np.full(ALPHABET, 1.0 / (size - 1))
     rest = Rest(size, np.full(size, 1.0 / (size - 1)), {}, {})
+    logs = np.zeros(0, np.float32)
     for n in range(1, ORDER + 1):
         own = np.flatnonzero(order == n)
         grams, contexts = gram[own], gram[own] // size
         known = ~_beyond(contexts, n - 1, size)
         inside = known & (grams % size < ALPHABET)
-        alpha = np.zeros(ALPHABET**n)
         gamma = np.ones(ALPHABET ** (n - 1))
-        alpha[_in_table(grams[inside], n, size)] = alpha_of[own[inside]]
         gamma[_in_table(contexts[known], n - 1, size)] = gamma_of[own[known]]
         if size > ALPHABET and whole:
             if n == 1:
@@ -234,25 +249,37 @@ def assemble(alphabet: bytes, rows: pa.Table, whole: bool = True) -> Model:
                 rest.alphas[n] = grams[kept], alpha_of[own[kept]]
                 context, first = np.unique(contexts, return_index=True)
                 rest.gammas[n] = context, gamma_of[own[first]]
-        if n == 1:
-            p = alpha + gamma[0] * p
+        at = _in_table(grams[inside], n, size)
+        by_place = np.argsort(at)
+        at, alpha = at[by_place], alpha_of[own[inside]][by_place]
+        if n < ORDER:
+            p = (gamma.reshape(-1, max(1, len(p) // ALPHABET), 1) * p.reshape(1, -1, ALPHABET)).ravel() if n > 1 else gamma[0] * p
+            p[at] += alpha
             continue
-        # In place, first symbol by first symbol: the table of the highest order is the largest thing on the driver.
-        lower = p.reshape(-1, ALPHABET)
-        for own_first, weight in zip(alpha.reshape(ALPHABET, -1, ALPHABET), gamma.reshape(ALPHABET, -1, 1), strict=True):
-            own_first += weight * lower
-        p = alpha
-    p = p.reshape(-1, ALPHABET)
-    p[:, 1] /= max(1, 256 - len(alphabet))
-    return Model(alphabet, np.log(np.maximum(p, LEAST_P)).ravel().astype(np.float32), rest if size > ALPHABET and whole else None)
+        # Made first symbol by first symbol: the table of the highest order is the largest thing on the driver.
+        logs, lower, width = np.empty(ALPHABET**n, np.float32), p.reshape(-1, ALPHABET), len(p)
+        cuts = np.searchsorted(at, np.arange(ALPHABET + 1) * width)
+        for k, weight in enumerate(gamma.reshape(ALPHABET, -1, 1)):
+            part = (weight * lower).ravel()
+            part[at[cuts[k] : cuts[k + 1]] - k * width] += alpha[cuts[k] : cuts[k + 1]]
+            part[1::ALPHABET] /= max(1, 256 - len(alphabet))
+            logs[k * width : (k + 1) * width] = np.log(np.maximum(part, LEAST_P))
+    return Model(alphabet, logs, rest if size > ALPHABET and whole else None)
 
 
 def learn(texts: DataFrame, alphabet: bytes) -> Model:
     """The model of the texts; ``alphabet`` has their bytes, the most frequent first."""
     size = radix(alphabet)
+    # Stored, as each order and each discount reads them again.
+    counts = written(count_ngrams(texts, alphabet), "counts")
+    every = written(lower_orders(counts, size), "orders")
+    dropped(counts)
     if size == ALPHABET:
-        return assemble(alphabet, smoothed(count_ngrams(texts, alphabet)).toArrow())
-    rows = written(smoothed(count_ngrams(texts, alphabet), size), "ngrams")
+        model = assemble(alphabet, smoothed(every).toArrow())
+        dropped(every)
+        return model
+    rows = written(smoothed(every, size), "ngrams")
+    dropped(every)
     beyond = lambda gram, n: reduce(Column.__or__, (F.floor(gram / size**k) % size >= ALPHABET for k in range(n)))
     other = beyond(F.col("gram"), ORDER)
     if rows.where(other).limit(REST_ROWS + 1).count() <= REST_ROWS:
@@ -269,7 +296,7 @@ def perplexities(docs: DataFrame, model: Model, keep: list[str] | None = None) -
     """``docs`` (or its columns ``keep``) with the length in bytes and the perplexity, null for empty texts."""
     if model.table is not None:
         return _by_joins(docs, model, keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
 
     def make():
         m = shared.value
@@ -287,7 +314,7 @@ def perplexities(docs: DataFrame, model: Model, keep: list[str] | None = None) -
 
 def _by_joins(docs: DataFrame, model: Model, keep: list[str] | None) -> DataFrame:
     """``perplexities`` where n-grams with a byte beyond the table's are joined with their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, table=None))
+    shared = model.shared(docs.sparkSession)
 
     def make():
         m = shared.value

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -132,6 +133,19 @@ def test_kneser_ney(spark):
     assert abs(p[0] - math.exp(-sum(math.log(want(tuple(s[i - 3 : i]), s[i])) for i in range(3, 7)) / 4)) < 1e-3 and math.isnan(p[1])
 
 
+def test_model_takes_little_of_the_driver(spark):
+    """Besides the table of the highest order nothing of its size is held, and the model is broadcast once."""
+    alphabet = bytes(range(97, 123))
+    rows = pa.table({"order": pa.array([1, 4], pa.int32()), "gram": [2, 2 + 48 * 3], "alpha": [0.5, 0.25], "gamma": [0.5, 0.75]})
+    tracemalloc.start()
+    m = quality_lm.assemble(alphabet, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(m.logs) == quality_lm.ALPHABET**quality_lm.ORDER and peak < 2 * m.logs.nbytes
+    assert math.isclose(m.logs[2 + 48 * 3], math.log(0.25 + 0.75 * (0.5 + 0.5 / 47)), rel_tol=1e-6)
+    assert m.shared(spark) is m.shared(spark)
+
+
 def test_scores_by_definition(spark, docs, rows):
     texts = [(d, [*WORD.findall((t or "").translate(LOWER)), None]) for d, t, *_ in rows]
     import zlib
