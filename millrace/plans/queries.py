@@ -96,6 +96,11 @@ def tags_union(spark, sf_dir):
 # --- itemsets
 
 
+def _customers_brands(spark, sf_dir) -> DataFrame:
+    """Customers' baskets of brands, stored for the levels, whose results don't read them again."""
+    return stored(itemsets.baskets(roles.brand_ratings(spark, sf_dir), 1), "pairs")
+
+
 def _support(pairs: DataFrame) -> int:
     return int(pairs.agg(F.ceil(F.countDistinct("basket") * F.lit(SUPPORT_SHARE)).alias("s")).first().s)
 
@@ -111,8 +116,9 @@ def baskets_by_item(spark, sf_dir):
 
 
 def _level(spark, sf_dir, k: int) -> DataFrame:
-    pairs = checkpointed(itemsets.baskets(roles.brand_ratings(spark, sf_dir), 1))
+    pairs = _customers_brands(spark, sf_dir)
     found = itemsets.levels(pairs, _support(pairs), k)
+    dropped(pairs)
     columns = [f"i{j}" for j in range(1, k + 1)]
     return found[k - 1] if len(found) >= k else spark.createDataFrame([], ", ".join(f"{c} int" for c in columns) + ", n long")
 
@@ -142,8 +148,9 @@ def frequent_itemsets_fpgrowth(spark, sf_dir):
 @query
 def frequent_itemsets(spark, sf_dir):
     """The level-wise join's itemsets of all sizes; the same rows as FP-growth's."""
-    pairs = checkpointed(itemsets.baskets(roles.brand_ratings(spark, sf_dir), 1))
+    pairs = _customers_brands(spark, sf_dir)
     found = itemsets.frequent_itemsets(pairs, _support(pairs))
+    dropped(pairs)
     return found.select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "n")
 
 
@@ -189,8 +196,10 @@ def edges_sorted(spark, sf_dir):
 @query
 def itemset_lines(spark, sf_dir):
     """A line for each size of itemsets, ascending inside and across."""
-    pairs = checkpointed(itemsets.baskets(roles.brand_ratings(spark, sf_dir), 1))
-    return writers.itemset_lines(itemsets.frequent_itemsets(pairs, _support(pairs)))
+    pairs = _customers_brands(spark, sf_dir)
+    found = itemsets.frequent_itemsets(pairs, _support(pairs))
+    dropped(pairs)
+    return writers.itemset_lines(found)
 
 
 @query
