@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, evaluate, graph, itemsets, lsh, recommend
 from millrace.sources import readers, writers
-from millrace.storage import checkpointed
+from millrace.storage import checkpointed, temporary
 from millrace.streaming import bits, texts
 
 
@@ -44,7 +44,8 @@ def frequent_itemsets(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def similar_movies(spark: SparkSession, a: argparse.Namespace) -> None:
     rated = readers.read_ratings(spark, a.ratings).select(F.col("movieId").alias("item"), F.col("userId").alias("element"))
-    sets = checkpointed(lsh.indexed(rated))
+    with temporary():
+        sets = checkpointed(lsh.indexed(rated))
     found = checkpointed(lsh.jaccard_pairs(sets, lsh.lsh_candidates(checkpointed(lsh.minhash(sets)))))
     writers.write_lines(writers.triple_lines(found, "m1", "m2", "jaccard").withColumn("key", F.split("value", ", ").cast("array<double>")), a.output, ["key"])
     truth = readers.read_truth_pairs(spark, a.truth) if a.truth else lsh.jaccard_exact(sets)
